@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, neardup, packing, pii, quality, secrets
-from .common import documents
+from . import bpe, language, license, neardup, packing, pii, quality, secrets, urlfilter, winnow
+from .common import documents, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(documents(spark, sf_dir))
 
 
+def document_path() -> Column:
+    """Where a document lies: its source, then directories of 10,000 and of 100 ids."""
+    i = F.col("doc_id")
+    return F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.floor(i / 10000).cast("string"), F.floor(i / 100).cast("string"), i.cast("string"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.scan_licenses(documents(spark, sf_dir), document_path())
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir))
 
@@ -44,6 +54,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.edit_likeness(documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(documents(spark, sf_dir))
 
@@ -52,14 +66,22 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = pages(spark, sf_dir)
+    return urlfilter.filter_urls(urls, urlfilter.default_listing(urls))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_license_scan": op2_license_scan,
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
     "op5_quality_rules": op5_quality_rules,
     "op6_packing": op6_packing,
+    "op7_winnowing": op7_winnowing,
     "op8_language_id": op8_language_id,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_url_filter": op10_url_filter,
 }
 
 _OP5_SQL = r"""
@@ -100,4 +122,85 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM b
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": _OP5_SQL}
+
+def _op2_sql() -> str:
+    idf, unknown, scaled = license.weights()
+    names = sorted(license.TEMPLATES)
+    terms = ", ".join(f"('{t}', '{n}', {idf[t]!r}::DOUBLE, {w!r}::DOUBLE)" for n in names for t, w in sorted(scaled[n].items()))
+    cue = license.CUE.removeprefix("(?i)")
+    return rf"""
+WITH terms(term, license, idf, w) AS (VALUES {terms}),
+idfs AS (SELECT DISTINCT term, idf FROM terms),
+own AS (
+  SELECT row_number() OVER () AS row_id, doc_id, text, length(text) AS n,
+         concat_ws('/', coalesce(source, 'unknown'), doc_id // 10000, doc_id // 100, doc_id) AS path,
+         concat_ws('/', coalesce(source, 'unknown'), doc_id // 10000, doc_id // 100) AS folder
+  FROM documents
+), cues AS (
+  SELECT * FROM (SELECT row_id, doc_id, path, folder, n, unnest(string_split(text, chr(10))) AS line FROM own)
+  WHERE regexp_matches(line, '{cue}', 'i')
+), counted AS (
+  SELECT line, term, count(*) AS k
+  FROM (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT line FROM cues))
+  GROUP BY ALL
+), sizes AS (
+  SELECT line, sqrt(sum((k * coalesce(idf, {unknown!r}::DOUBLE)) ** 2)) AS size
+  FROM counted LEFT JOIN idfs USING (term) GROUP BY line
+), cosines AS (
+  SELECT line, license, round(sum(k * idf * w) / any_value(size), 6) AS score
+  FROM counted JOIN terms USING (term) JOIN sizes USING (line) GROUP BY line, license
+), scored AS (
+  SELECT line, license, score FROM cosines WHERE score >= {license.MIN_COSINE}
+  QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1
+), hits AS (
+  SELECT * FROM cues JOIN scored USING (line)
+), best AS (
+  SELECT doc_id, license AS own_license, score AS own_score FROM hits
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1
+), files AS (
+  SELECT folder, license, path FROM (
+    SELECT doc_id, path, folder, n, sum(length(line)) AS held, max(score) AS score, first(license ORDER BY score DESC, license) AS license
+    FROM hits GROUP BY doc_id, path, folder, n)
+  WHERE held >= {license.FILE_SHARE} * n
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, path) = 1
+), above AS (
+  SELECT folder, array_to_string(list_slice(parts, 1, depth), '/') AS ancestor, depth
+  FROM (SELECT folder, string_split(folder, '/') AS parts, unnest([1, 2, 3]) AS depth FROM (SELECT DISTINCT folder FROM own))
+), found AS (
+  SELECT above.folder, license, path FROM above JOIN files ON above.ancestor = files.folder
+  QUALIFY row_number() OVER (PARTITION BY above.folder ORDER BY depth DESC) = 1
+)
+SELECT doc_id, own.path, own_license, own_score, coalesce(own_license, found.license) AS license,
+       CASE WHEN own_license IS NULL THEN found.path END AS inherited_from
+FROM own LEFT JOIN best USING (doc_id) LEFT JOIN found ON own.folder = found.folder
+"""
+
+
+_OP10_SQL = r"""
+WITH rest AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), own AS (
+  SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest
+), keyed AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') END AS canonical FROM own
+), listed AS (
+  SELECT DISTINCT canonical FROM keyed WHERE regexp_matches(host, '(^|\.)(ads-|adult-|casino-|cheap-|free-|spam-)')
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND prefix(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/') THEN 'com/' END AS rule
+  FROM keyed
+), judged AS (
+  SELECT *, canonical IS NOT NULL AND canonical IN (SELECT canonical FROM listed) AS listed FROM ruled
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+    WHEN listed THEN 'block' ELSE 'allow' END AS verdict, listed
+FROM judged
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": _op2_sql(), "op5_quality_rules": _OP5_SQL, "op10_url_filter": _OP10_SQL}
