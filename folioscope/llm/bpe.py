@@ -1,16 +1,16 @@
 """Byte-pair encoding and decoding by forced-boundary splitting.
 
 A merge can join two neighbouring bytes only into a vocabulary token that holds them side by side.  Where a
-byte pair occurs inside no token, every encoding has a boundary.  Texts are cut at such places, the
-fragments (mostly a word with its leading space) are encoded one by one with the tokenizer itself, and their
-ids are concatenated.  Fragments repeat, so each is encoded once and kept in a bounded table.
+byte pair occurs inside no token, every encoding has a boundary.  Texts are cut at such places into fragments
+of a few thousand bytes, which are encoded on their own; their ids are concatenated.  So time is linear and
+memory bounded, however long a text is.
 
 A cut must also leave the tokenizer's first split into words as it is.  So none is made after white space
 (a run of it is split by what follows), before an apostrophe (which could begin a contraction) or inside a
 character.  The strings of special tokens are cut out first, as the tokenizer does.
 
 Null text counts as empty: no ids.  Empty tables give empty results; repeated rows are encoded alike.  Only
-the id and the text column are read.  Texts are encoded whole, however long.
+the id and the text column are read.  Texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,10 +29,14 @@ from pyspark.sql import types as T
 
 from .common import sha256_hex
 
-#: Entries of the fragment table of a worker, and the longest fragment kept there, in bytes.
-TABLE_ENTRIES, TABLE_BYTES = 300_000, 48
+#: Fragments reach the first forced boundary after so many bytes.
+FRAGMENT_BYTES = 4096
+#: Longer ones (text without a boundary) are left to the tokenizer library, whose split has no step limit.
+LONG_FRAGMENT = 1 << 16
 
 _SPACE_LEFT = [*range(9, 14), *range(28, 33)]
+#: How the byte-level tokenizer first splits a text (fixed value of the format).
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Last and last but one byte of the white space outside ASCII.
 _SPACE_LAST = [0x85, 0xA0, *range(0x80, 0x8B), 0xA8, 0xA9, 0xAF, 0x9F]
 _SPACE_BEFORE = [0xC2, 0x80, 0x81, 0x9A]
@@ -53,7 +57,8 @@ def byte_letters() -> dict[str, int]:
 
 
 class ForcedBoundaryCodec:
-    def __init__(self, path: str):
+    def __init__(self, path: str, fragment_bytes: int = FRAGMENT_BYTES):
+        self.fragment_bytes = fragment_bytes
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -84,47 +89,54 @@ class ForcedBoundaryCodec:
         self.after_space = self.after_space.ravel()
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.special_ids = special
-        self.table: dict[bytes, bytes] = {}
+        self.fast = self._rank_encoder(spec["model"])
 
-    def fragments(self, raw: bytes) -> list[bytes]:
-        """``raw`` (UTF-8) cut at every forced boundary that leaves the first split as it is."""
-        if len(raw) < 2:
-            return [raw] if raw else []
-        b = np.frombuffer(raw, np.uint8).astype(np.int32)
+    def boundaries(self, raw: bytes) -> np.ndarray:
+        """All forced boundaries of ``raw`` (UTF-8) that leave the first split as it is, ascending."""
+        b = np.frombuffer(raw, np.uint8).astype(np.uint16)
         pair = (b[:-1] << 8) | b[1:]
         cut = self.allowed[pair]
-        if len(raw) > 2:
-            cut[1:] &= ~self.after_space[pair[:-1]]
-        at = (np.flatnonzero(cut) + 1).tolist()
-        return [raw[i:j] for i, j in zip([0, *at], [*at, len(raw)], strict=True)]
-
-    def _learn(self, new: list[bytes]) -> dict[bytes, bytes]:
-        made = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-        return {x: np.asarray(e.ids, "<u4").tobytes() for x, e in zip(new, made, strict=True)}
-
-    def _plain(self, raw: bytes) -> bytes:
-        parts = self.fragments(raw)
-        got = list(map(self.table.get, parts))
-        if None in got:
-            new = self._learn(list({x for x, y in zip(parts, got, strict=True) if y is None}))
-            got = [new[x] if y is None else y for x, y in zip(parts, got, strict=True)]
-            if len(self.table) + len(new) > TABLE_ENTRIES:
-                self.table.clear()
-            self.table.update((x, y) for x, y in new.items() if len(x) <= TABLE_BYTES)
-        return b"".join(got)
+        cut[1:] &= ~self.after_space[pair[:-1]]
+        return np.flatnonzero(cut) + 1
+
+    def fragments(self, raw: bytes) -> list[bytes]:
+        """``raw`` cut at forced boundaries, ``fragment_bytes`` or a little more at a time."""
+        if len(raw) <= max(2, self.fragment_bytes):
+            return [raw]
+        at, cuts = self.boundaries(raw), [0]
+        while (i := int(np.searchsorted(at, cuts[-1] + self.fragment_bytes))) < len(at):
+            cuts.append(int(at[i]))
+        return [raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+
+    def _rank_encoder(self, model: dict):
+        """A faster encoder of the same vocabulary, where merges rank as their ids do; else none."""
+        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        made = [model["vocab"][a + b] for a, b in pairs]
+        if any(x >= y for x, y in zip(made, made[1:], strict=False)):
+            return None
+        import tiktoken
+
+        ranks = {raw: i for i, raw in enumerate(self.tokens) if i not in self.special_ids.values()}
+        return tiktoken.Encoding("fragments", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    def _encode_fragment(self, raw: bytes) -> np.ndarray:
+        if self.fast is None or len(raw) > LONG_FRAGMENT:
+            return np.asarray(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u4")
+        return self.fast.encode_to_numpy(raw.decode(), disallowed_special=())
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of one whole text."""
-        if not text:
-            return np.zeros(0, "<u4")
-        parts = self.special.split(text) if self.special else [text]
-        out = []
-        for i, part in enumerate(parts):
+        out = [np.zeros(0, "<u4")]
+        for i, piece in enumerate(self.special.split(text or "") if self.special else [text or ""]):
             if i % 2:
-                out.append(np.asarray([self.special_ids[part]], "<u4").tobytes())
-            elif part:
-                out.append(self._plain(part.encode()))
-        return np.frombuffer(b"".join(out), "<u4")
+                out.append(np.asarray([self.special_ids[piece]], "<u4"))
+            elif piece:
+                out += map(self._encode_fragment, self.fragments(piece.encode()))
+        return np.concatenate(out).astype("<u4", copy=False)
+
+    def encode_each(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each whole text, in order."""
+        return map(self.encode, texts)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, special tokens kept; bytes that are not UTF-8 become replacement characters."""
@@ -143,7 +155,7 @@ def encode_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
         own = codec(path)
-        return pd.Series([own.encode(t).astype(np.int32) for t in texts], dtype=object)
+        return pd.Series([x.astype(np.int32) for x in own.encode_each(texts)], dtype=object)
 
     return docs.select(F.col(id_col), ids(F.col(text_col)).alias("ids"))
 
@@ -179,8 +191,7 @@ def round_trip_digests(docs: DataFrame, path: str | None = None, id_col: str = "
         own = codec(path)
         for texts in batches:
             rows = []
-            for t in texts:
-                ids = own.encode(t)
+            for ids in own.encode_each(texts):
                 rows.append((len(ids), sha256_hex(ids.tobytes()), sha256_hex(own.decode(ids))))
             yield pd.DataFrame(rows, columns=DIGEST_TYPE.names)
 

@@ -193,8 +193,8 @@ def piece_rows(path: str | None, end_id: int):
         seen = np.zeros(SEQUENCE + 1, np.int64)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"].array, batch["text"].array, strict=True):
-                ids = np.append(own.encode(text), np.asarray([end_id], "<u4"))
+            for doc_id, ids in zip(batch["doc_id"].array, own.encode_each(batch["text"].array), strict=True):
+                ids = np.append(ids, np.asarray([end_id], "<u4"))
                 for start, size, crc, blocks, short in cut(ids):
                     rows.append((doc_id, start, size, crc, len(ids), part, int(seen[size]), blocks, short))
                     seen[size] += 1
