@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import BLOCKS, bloom_filter, may_hold
+
 Rule = tuple[str, str, str]
 
 #: The rules of the query: host, path, verdict.
@@ -29,12 +31,6 @@ RULES: tuple[Rule, ...] = (
     ("net", "/fr/", "block"),
 )
 
-#: Blocks of the Bloom filter: 64 bits each, so 512 KB for 65,536 of them, whatever the list.  At 16 bits a URL that is
-#: room for 260,000; a longer list only passes more possible hits to the join.
-BLOCKS = 1 << 16
-#: Bits that a URL sets in its block.
-BITS = 4
-
 #: A host with a label that begins with one of these words is listed by default.
 LISTED_WORDS = ("ads-", "adult-", "casino-", "cheap-", "free-", "spam-")
 
@@ -71,34 +67,6 @@ def rule_of(host_col: Column, path_col: Column, rules: Sequence[Rule] = RULES) -
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _block(key: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
-
-
-def _bits(key: Column, bits: int) -> Column:
-    mask = F.lit(0).cast("long")
-    for i in range(bits):
-        place = F.pmod(F.hash(F.lit(i), key), F.lit(64))
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), place))
-    return mask
-
-
-def bloom_filter(listed: DataFrame, key: str, blocks: int = BLOCKS, bits: int = BITS) -> DataFrame:
-    """One row, one column: the blocks of the filter as ``array<bigint>`` of fixed length.
-
-    Blocks are built in parallel by a bitwise OR; at most ``blocks`` small rows meet in the last task.
-    """
-    masks = listed.groupBy(_block(F.col(key), blocks).alias("b")).agg(F.bit_or(_bits(F.col(key), bits)).alias("m"))
-    entries = masks.agg(F.map_from_entries(F.collect_list(F.struct("b", "m"))).alias("e"))
-    fill = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.coalesce(F.try_element_at("e", i), F.lit(0).cast("long")))
-    return entries.select(fill.alias("filter"))
-
-
-def passes(filter_col: Column, key: Column, blocks: int = BLOCKS, bits: int = BITS) -> Column:
-    mask = _bits(key, bits)
-    return F.coalesce(F.get(filter_col, _block(key, blocks)).bitwiseAND(mask) == mask, F.lit(False))
-
-
 def default_listing(urls: DataFrame, url_col: str = "url", words: Sequence[str] = LISTED_WORDS) -> DataFrame:
     """(canonical): the distinct canonical URLs whose host has a label that begins with a listed word."""
     own = urls.select(host(F.col(url_col)).alias("h"), path(F.col(url_col)).alias("p"))
@@ -113,7 +81,7 @@ def filter_urls(
     known = listed.where(F.col("canonical").isNotNull()).select("canonical").distinct()
     own = urls.select(F.col(id_col).alias("_id"), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     own = own.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules)).withColumn("_key", canonical(F.col("host"), F.col("path")))
-    own = own.withColumn("_maybe", passes(bloom_filter(known, "canonical", blocks).scalar(), F.col("_key"), blocks))
+    own = own.withColumn("_maybe", may_hold(bloom_filter(known, "canonical", blocks).scalar(), F.col("_key"), blocks))
     hits = known.withColumnRenamed("canonical", "_key").withColumn("_listed", F.lit(True))
     sure = own.where(~F.col("_maybe")).withColumn("_listed", F.lit(None).cast("boolean"))
     maybe = own.where("_maybe").join(hits, "_key", "left")
