@@ -1,17 +1,18 @@
 """Document fingerprints by winnowing, as DataFrame expressions.
 
-The hashes of all grams of ``GRAM`` bytes are taken; of each window of ``WINDOW`` neighbouring hashes the least is
-chosen, on ties the rightmost; chosen hashes keep their position.  So two texts that share a passage of
-``GRAM + WINDOW - 1`` bytes or more share a fingerprint of it, wherever it stands.
+A text's pieces are its runs of characters that are not white space, cut after every ``PIECE`` characters.  The hashes of all
+grams of ``GRAM`` pieces are taken; of each window of ``WINDOW`` neighbouring hashes the least is chosen, on
+ties the rightmost; chosen hashes keep their position.  So two texts that share a passage of
+``GRAM + WINDOW - 1`` pieces share a fingerprint of it, wherever it stands.
 
 A hash and its position travel as one integer, ``hash * 2**31 - position``, whose least value is the least hash
 and, on ties, the rightmost.  Least values of all windows are found by doubling: those of width 2 from
 neighbours, of width 4 from these, and so on, so the work is linear in the text.  Everything is a
 built-in function; nothing is exploded into rows and no text leaves the JVM.
 
-A text shorter than a gram is one gram; one of fewer grams than a window is one window.  Empty and null texts have no
-hashes.  Two documents without hashes are alike (1.0), one without is unlike any other (0.0).  Columns other
-than the named ones are ignored.
+A text of fewer pieces than a gram is one gram; one of fewer grams than a window is one window.  Texts without a
+piece and null texts have no hashes.  Two documents without hashes are alike (1.0), one without is unlike any
+other (0.0).  Columns other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-GRAM = 16
+from .bloom import bloom_filter, may_hold
+
+PIECE = 12
+GRAM = 3
 #: A power of two.
-WINDOW = 32
+WINDOW = 4
 #: Neighbouring ids that are put in order within one task.
 NEIGHBOURS = 256
 
@@ -36,9 +40,10 @@ def chosen_sql(text: str, gram: int = GRAM, window: int = WINDOW) -> str:
     if window < 1 or window & (window - 1):
         raise ValueError("the window must be a power of two")
     least = _let(
-        "b",
-        f"encode({text}, 'UTF-8')",
-        f"transform(sequence(1, greatest(length(b) - {gram - 1}, 1)), i -> shiftright(xxhash64(substring(b, i, {gram})), 32) * 2147483648L - i)",
+        "p",
+        f"regexp_extract_all({text}, '\\\\S{{1,{PIECE}}}', 0)",
+        f"CASE WHEN size(p) > 0 THEN transform(sequence(1, greatest(size(p) - {gram - 1}, 1)),"
+        f" i -> shiftright(xxhash64(slice(p, i, {gram})), 32) * 2147483648L - i) ELSE cast(array() AS array<bigint>) END",
     )
     width, passes = 1, 0
     while width < window:
@@ -46,7 +51,7 @@ def chosen_sql(text: str, gram: int = GRAM, window: int = WINDOW) -> str:
         least = _let(v, least, f"zip_with({v}, slice({v}, {width + 1}, size({v})), (x, y) -> least(x, y))")
         width, passes = 2 * width, passes + 1
     least = _let("m", least, f"array_distinct(slice(m, 1, greatest(size(m) - {window - 1}, 1)))")
-    return f"CASE WHEN coalesce({text}, '') = '' THEN cast(array() AS array<bigint>) ELSE {least} END"
+    return f"CASE WHEN {text} IS NULL THEN cast(array() AS array<bigint>) ELSE {least} END"
 
 
 def chosen(text: str, gram: int = GRAM, window: int = WINDOW) -> Column:
@@ -70,37 +75,50 @@ def likeness(a: str, b: str) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(id, fingerprint array<struct<hash, position>>) of every row; positions are bytes, from 1."""
+    """(id, fingerprint array<struct<hash, position>>) of every row; positions are pieces, from 1."""
     own = docs.select(F.col(id_col), F.col(text_col).alias("_text")).withColumn("_v", chosen("_text", gram, window))
     pair = F.transform("_v", lambda v: F.struct((F.shiftright(v, 31) + 1).cast("int").alias("hash"), F.pmod(-v, F.lit(1 << 31)).cast("int").alias("position")))
     return own.select(id_col, pair.alias("fingerprint"))
 
 
-def with_next(rows: DataFrame, id_col: str, carried: list[str]) -> DataFrame:
-    """Each row with the carried columns, as ``next_<name>``, of the row after it in ascending id; after the last, the first.
+def _range(id_col: str) -> Column:
+    return F.floor(F.col(id_col).cast("long") / NEIGHBOURS)
+
 
-    Ids are dealt out by ranges of ``NEIGHBOURS``, each range is ordered in one task, and the last row of each
-    gets the first of the next range that has any: ranges are ordered the same way, range by range of ranges.
-    Ties of an id are ordered by the carried columns.  Rows without an id come with nothing next.
+def _firsts(ids: DataFrame, id_col: str) -> DataFrame:
+    """(first, goes_to): the first id of each range, and the range before it that has any; the very first goes to the last.
+
+    Ranges are ordered within ranges of 4,096 of them, and these among themselves, so few rows meet in one task.
+    """
+    ranges = ids.groupBy(_range(id_col).alias("r")).agg(F.min(id_col).alias("first")).withColumn("above", F.floor(F.col("r") / 4096))
+    tops = ranges.groupBy("above").agg(F.max("r").alias("last"))
+    everywhere = Window.orderBy("above")
+    greatest = F.max("last").over(everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    tops = tops.select("above", F.coalesce(F.lag("last").over(everywhere), greatest).alias("before"))
+    within = Window.partitionBy("above").orderBy("r")
+    near = ranges.withColumn("near", F.lag("r").over(within)).join(tops, "above")
+    return near.select("first", F.coalesce("near", "before").alias("goes_to"))
+
+
+def with_next(rows: DataFrame, id_col: str, carried: dict[str, str]) -> DataFrame:
+    """Each row with columns of the row after it in ascending id (new name to column); after the last, of the first.
+
+    Rows are dealt out once, by ranges of ``NEIGHBOURS`` ids, and ordered range by range.  The first row of a range goes
+    to the range before it as well.  Where a range's first possible id is missing, a Bloom filter finds
+    the few rows that may be first; a join with the first ids decides.  Ties of an id are ordered by the carried
+    columns.  Rows without an id come with nothing next.
     """
-    key = F.floor(F.col(id_col) / NEIGHBOURS)
-    known = rows.where(F.col(id_col).isNotNull()).withColumn("_range", key)
-    order = Window.partitionBy("_range").orderBy(id_col, *carried)
-    ordered = known.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in carried), F.row_number().over(order).alias("_row"), F.lead(F.lit(True)).over(order).alias("_more"))
-    inside = ordered.where("_more").drop("_range", "_row", "_more")
-    first = ordered.where("_row = 1").select("_range", *(F.col(c).alias(f"next_{c}") for c in carried))
-    ranges = known.select("_range").distinct().withColumn("_above", F.floor(F.col("_range") / 4096))
-    above = ranges.groupBy("_above").agg(F.min("_range").alias("low"))
-    everywhere = Window.orderBy("_above")
-    lowest = F.first("low").over(everywhere.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    above = above.select("_above", F.coalesce(F.lead("low").over(everywhere), lowest).alias("low_after"))
-    within = Window.partitionBy("_above").orderBy("_range")
-    after = ranges.withColumn("_near", F.lead("_range").over(within)).join(above, "_above").select("_range", F.coalesce("_near", "low_after").alias("_after"))
-    last = ordered.where("_more IS NULL").drop(*(f"next_{c}" for c in carried), "_row", "_more")
-    last = last.join(after, "_range").drop("_range").join(first, F.col("_after") == F.col("_range")).drop("_after", "_range")
-    schema = {f.name: f.dataType for f in rows.schema.fields}
-    unknown = rows.where(F.col(id_col).isNull()).select("*", *(F.lit(None).cast(schema[c]).alias(f"next_{c}") for c in carried))
-    return inside.unionByName(last).unionByName(unknown)
+    known = rows.where(F.col(id_col).isNotNull())
+    firsts = _firsts(known.select(id_col), id_col)
+    odd = bloom_filter(firsts.where(F.col("first") % NEIGHBOURS != 0), "first").scalar()
+    likely = known.where((F.col(id_col) % NEIGHBOURS == 0) | may_hold(odd, F.col(id_col)))
+    guests = likely.join(firsts, F.col(id_col) == F.col("first")).drop("first").withColumnRenamed("goes_to", "_range").withColumn("_guest", F.lit(True))
+    hosts = known.withColumn("_range", _range(id_col)).withColumn("_guest", F.lit(False))
+    order = Window.partitionBy("_range").orderBy("_guest", id_col, *carried.values())
+    ordered = hosts.unionByName(guests).select("*", *(F.lead(c).over(order).alias(n) for n, c in carried.items()))
+    kind = {f.name: f.dataType for f in rows.schema.fields}
+    unknown = rows.where(F.col(id_col).isNull()).select("*", *(F.lit(None).cast(kind[c]).alias(n) for n, c in carried.items()))
+    return ordered.where(~F.col("_guest")).drop("_range", "_guest").unionByName(unknown)
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,12 +130,12 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     own = own.withColumn("_v", chosen("_text"))
     own = own.select("_id", "_text", digest("_v").alias("fingerprint"), hashes("_v").alias("_h"))
-    pairs = with_next(own, "_id", ["_text", "_h"])
+    pairs = with_next(own, "_id", {"_next": "_text", "_nh": "_h"})
     n = F.char_length("_text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), F.substring(F.coalesce("next__text", F.lit("")), F.lit(1), half))
+    edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), half))
     pairs = pairs.withColumn("_edited", edited).withColumn("_ev", chosen("_edited")).withColumn("_eh", hashes("_ev"))
-    pairs = pairs.withColumn("_nh", F.coalesce("next__h", F.array().cast("array<int>")))
+    pairs = pairs.withColumn("_nh", F.coalesce("_nh", F.array().cast("array<int>")))
     return pairs.select(
         F.col("_id").alias(id_col),
         n.cast("long").alias("n_chars"),
