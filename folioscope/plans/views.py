@@ -76,7 +76,7 @@ SELECT a.doc_id AS case_id, a.source AS agent, lpad(cast(a.doc_id AS varchar(20)
 FROM {documents} a LEFT JOIN {documents} b ON b.doc_id = a.doc_id + 1""",
     "v_lessons": """
 SELECT lang AS agent, CASE WHEN doc_id % 7 = 0 THEN 'a11y_policy' ELSE 'generalizable' END AS kind,
-       CASE WHEN doc_id % 3 = 0 THEN upper(substring(text, 1, 12)) ELSE substring(text, 1, 12) END AS instruction,
+       CASE WHEN doc_id % 3 = 0 THEN concat(substring(text, 1, 12), ' !') ELSE substring(text, 1, 12) END AS instruction,
        cast(doc_id AS varchar(20)) AS session, doc_id AS seq
 FROM {documents} WHERE text IS NOT NULL""",
     "v_issues": """
