@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import runlog
 from .registry import Tables, query
 from .store_queries import NOW_SQL, now
 
-_STATUS = F.when(F.col("session_id") % 3 == 0, F.lit("running")).otherwise(F.lit("ready_for_review"))
+
+def status() -> Column:
+    return F.when(F.col("session_id") % 3 == 0, F.lit("running")).otherwise(F.lit("ready_for_review"))
 
 
 @query(
@@ -66,7 +68,7 @@ SELECT session_id, phase, CAST(max_by(greatest(0, epoch_us(coalesce(until, end_r
     ("v_run_log",),
 )
 def _(t: Tables) -> DataFrame:
-    return runlog.phase_durations(t["v_run_log"], _STATUS, now())
+    return runlog.phase_durations(t["v_run_log"], status(), now())
 
 
 @query(
