@@ -83,7 +83,7 @@ def diff_preview(before: Column, after: Column, limit: int = DIFF_LINES) -> Colu
 def fence_stripped(c: Column) -> Column:
     """What the first code fence holds, if there is one."""
     inner = F.regexp_extract(c, r"(?is)```(?:html)?\s*(.*?)```", 1)
-    return F.trim(F.coalesce(F.nullif(inner, F.lit("")), c))
+    return F.regexp_replace(F.coalesce(F.nullif(inner, F.lit("")), c), r"^\s+|\s+$", "")
 
 
 def quoted(c: Column, size: int = QUOTE_CHARS) -> Column:

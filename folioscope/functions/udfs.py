@@ -26,7 +26,7 @@ def balanced_object(text: str) -> str | None:
     """The first brace and what follows up to its match, strings and escapes minded."""
     start = text.find("{")
     depth, quoted, escaped = 0, False, False
-    for i in range(start, len(text) if start >= 0 else 0):
+    for i in range(start, len(text)) if start >= 0 else ():
         c = text[i]
         if quoted:
             if escaped:
