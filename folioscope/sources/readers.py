@@ -31,7 +31,7 @@ LESSON = T.ArrayType(
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the store; columns that older files lack are null, a legacy users table is refused."""
-    df = spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}")
+    df = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").parquet(f"{root}/{name}")
     if name == "users":
         refuse_legacy_users(df.columns)
     for f in STORE[name].fields:
