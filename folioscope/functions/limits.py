@@ -103,3 +103,10 @@ def retry_delay_ms(attempt: Column) -> Column:
 def is_retryable(http_status: Column, transient: Column, has_text: Column, attempt: Column) -> Column:
     """A failed attempt is tried again, three times in all, if its cause may pass and no text has come yet."""
     return (attempt < 3) & ~has_text & (http_status.isin(429, 500, 502, 503, 504) | F.coalesce(transient, F.lit(False)))
+
+
+def usage_of(text: Column) -> Column:
+    """Four token counts from a JSON object; what is no number is absent."""
+    fields = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+    raw = F.from_json(text, ", ".join(f"{f} string" for f in fields))
+    return F.struct(*(number(raw[f]).cast("long").alias(f) for f in fields))

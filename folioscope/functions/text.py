@@ -123,3 +123,10 @@ def list_block(items: Column) -> Column:
         return F.concat((i + 1).cast("string"), F.lit(". "), x["instruction"], F.when(shown, example).otherwise(F.lit("")))
 
     return F.array_join(F.transform(items, one), "\n")
+
+
+def wrap_document(body: Column, title: Column, notes: Column) -> Column:
+    """A body as a whole page; open issues stand in a comment at its end."""
+    note = F.when(F.coalesce(notes, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit("\n<!-- unresolved: "), unresolved_note(notes), F.lit(" -->")))
+    head = F.concat(F.lit('<!DOCTYPE html>\n<html lang="en">\n<head><meta charset="utf-8"><title>'), title, F.lit("</title></head>\n<body>\n"))
+    return F.concat(head, body, note, F.lit("\n</body>\n</html>"))

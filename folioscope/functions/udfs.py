@@ -19,6 +19,7 @@ VIOLATIONS = T.ArrayType(
 )
 SIZE = T.StructType([T.StructField("width", T.LongType()), T.StructField("height", T.LongType())])
 
+_PDF = re.compile(r'<page\b[^>]*\bnumber="([0-9]+)"|<a\b[^>]*\bhref="([^"]*)"[^>]*>(.*?)</a>', re.S | re.I)
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
 
 
@@ -135,6 +136,19 @@ def image_dimensions(images: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([image_size(x) or (None, None) for x in images], columns=["width", "height"]).astype("Int64")
 
 
+@F.udtf(returnType="page: int, text: string, href: string")
+class PdfLinkRows:
+    """Links of one converted PDF as rows, for use in SQL; ``operators.links.pdf_links`` is the native form for tables."""
+
+    def eval(self, xml: str):
+        page = 0
+        for m in _PDF.finditer(xml or ""):
+            if m[1]:
+                page = int(m[1])
+            elif page:
+                yield page, " ".join(htmltree.decode_entities(re.sub("<[^>]*>", "", m[3])).split()), htmltree.decode_entities(m[2]).strip()
+
+
 REGISTERED = {
     "flatten_html": flatten_html,
     "decode_html_entities": decode_html_entities,
@@ -148,3 +162,4 @@ def register(spark: SparkSession) -> None:
     """Make the functions callable in ``spark.sql``."""
     for name, f in REGISTERED.items():
         spark.udf.register(name, f)
+    spark.udtf.register("pdf_link_rows", PdfLinkRows)

@@ -85,3 +85,10 @@ def capture_fixtures(fragments: DataFrame) -> DataFrame:
     mine = fragments.join(image, ["session", "agent", "image"])
     parts = mine.groupBy("session", "agent", "image").agg(F.sort_array(F.collect_list(F.struct("seq", "html"))).alias("parts"))
     return parts.select("session", "agent", "image", F.array_join(F.transform("parts", lambda p: p["html"]), "\n\n").alias("accepted_html"))
+
+
+def fixture_inputs(fixtures: DataFrame, files: DataFrame, file: str = "file") -> DataFrame:
+    """Fixtures (agent, image_file) with the input file whose name after the first ``__`` is their image; null without one."""
+    named = files.where(F.contains(F.col(file), F.lit("__"))).select(F.split(F.col(file), "__", 2)[1].alias("image_file"), F.col(file).alias("input_file"))
+    first = named.groupBy("image_file").agg(F.min("input_file").alias("input_file"))
+    return fixtures.join(first, "image_file", "left")
