@@ -35,15 +35,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     """``df`` written once as Parquet under the shared folder and read back.
 
     The copy cuts the lineage, survives a lost executor and lets later plans read only the columns
-    they need; unlike ``checkpoint()`` it is columnar and compressed.
+    they need; unlike ``checkpoint()`` it is columnar and compressed.  ``compact`` deals small results out anew,
+    so that they take few files, and splits large partitions.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if compact else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,8 +10,9 @@ input row with the smallest id of its connected component.
 3.  Each node is paired with the smallest node of each band bucket it is in.  Pairs whose sketches differ in
     more bits than ``MAX_ODD_BITS`` are dropped; the rest are compared on their whole sets.
 4.  Components are taken.  In a bucket whose members are still in several components, each member outside the
-    largest one is joined with members of other components; the sketches are compared inside the join, so
-    only pairs that look similar leave it.  These are confirmed too, and components are taken again.
+    largest one is joined with members of other components.  Sketches are compared inside the join, and so are
+    the rarest shingles of both sets, which bound the intersection exactly.  Only pairs that may be similar
+    leave the join.  These are confirmed too, and components are taken again.
 
 Members of one component need no further comparison, so a group of near copies costs a number of pairs
 in proportion to its size.  There is no cap on buckets, partners or candidates.  A pair at the threshold of
@@ -34,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import bloom_filter, may_hold
 from .common import stored
 
 SHINGLE = 4
@@ -158,13 +160,17 @@ def _similar_sizes(a: str, b: str, threshold: int) -> Column:
     return 100 * F.least(F.col(a), F.col(b)) >= threshold * F.greatest(F.col(a), F.col(b))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Of pairs (a, b) of ids, those whose whole sets are similar enough.
+def shingle_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """(id, shingles) of the documents among ``ids``.
 
-    Texts are read for documents in a pair only; a set travels to each pair it is in.
+    A Bloom filter of the ids goes ahead of the join, so that texts of other documents are not shuffled.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(docs.join(ids, "id", "left_semi").mapInPandas(_sets(size), SET_SCHEMA), "sets")
+    likely = docs.where(may_hold(bloom_filter(ids, "id").scalar(), F.col("id")))
+    return likely.join(ids, "id", "left_semi").mapInPandas(_sets(size), SET_SCHEMA)
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Of pairs (a, b) of ids, those whose whole sets are similar enough; a set travels to each pair it is in."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -172,6 +178,32 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> D
     return both.where(100 * shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def rare_prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """(id, prefix): the rarest shingles of each set among these sets, as ``count * 2**32 + hash``, ascending.
+
+    So many that sets which are similar enough share some.  Ids with several rows are left out.
+    """
+    single = sets.groupBy("id").agg(F.count("*").alias("rows")).where("rows = 1").select("id")
+    held = sets.join(single, "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+    counts = held.groupBy("s").agg(F.count("*").alias("n"))
+    order = F.least("n", F.lit(2**30)) * F.lit(2**32) + F.col("s").bitwiseAND(F.lit(2**32 - 1))
+    ranked = held.join(counts, "s").groupBy("id").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    size = F.size("all") - F.ceil(F.size("all") * threshold / 100).cast("int") + 1
+    return ranked.select("id", F.slice("all", F.lit(1), size).alias("prefix"))
+
+
+def _may_share_enough(x: str, y: str, nx: str, ny: str, threshold: int) -> Column:
+    """False only where prefixes show that two sets share too few shingles.
+
+    Up to the lower of the last places of both prefixes all shared shingles are known; beyond it there are no more of
+    them than either set has left.
+    """
+    last = F.least(F.element_at(x, -1), F.element_at(y, -1))
+    left = F.least(*(F.col(n) - F.size(F.filter(p, lambda v: v <= last)) for p, n in ((x, nx), (y, ny))))
+    most = F.size(F.array_intersect(x, y)) + left
+    return F.coalesce((100 + threshold) * most >= threshold * (F.col(nx) + F.col(ny)), F.lit(True))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b); a component is named by its smallest node.
 
@@ -179,77 +211,89 @@ def connected_components(edges: DataFrame) -> DataFrame:
     in place of nodes in the edges, until no edge is left.  Rounds are written to the shared folder.
     """
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    left = stored(edges.where("a <> b").select(*pair).distinct(), "edges")
+    left = stored(edges.where("a <> b").select(*pair).distinct(), "edges", True)
     nodes = None
     while not left.isEmpty():
-        roots = stored(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "hooks")
+        roots = stored(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "hooks", True)
         while True:
             up = roots.select(F.col("node").alias("root"), F.col("root").alias("higher"))
             longer = roots.join(up, "root")
             if longer.isEmpty():
                 break
             jumped = roots.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
-            roots = stored(jumped, "hooks")
+            roots = stored(jumped, "hooks", True)
         a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = left.join(a, "a", "left").join(b, "b").select(F.coalesce("ra", "a").alias("a"), F.col("rb").alias("b"))
-        left = stored(moved.where("a <> b").select(*pair).distinct(), "edges")
+        left = stored(moved.where("a <> b").select(*pair).distinct(), "edges", True)
         if nodes is None:
             nodes = roots
         else:
             up = roots.select(F.col("node").alias("root"), F.col("root").alias("higher"))
             older = nodes.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
-            nodes = stored(older.unionByName(roots), "nodes")
+            nodes = stored(older.unionByName(roots), "nodes", True)
     if nodes is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     own = nodes.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct()
     return nodes.select("node", F.col("root").alias("component")).unionByName(own)
 
 
-def candidate_links(nodes: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Confirmed links (a, b) between nodes: enough of them that components come out as with all links."""
-    keyed = nodes.select("id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").select("key", "center")
-    members = stored(keyed.join(buckets, "key"), "members")
-    odd = nodes.select("id", "n_shingles", "odd")
+def sifted(pairs: DataFrame, odd: DataFrame, threshold: int) -> DataFrame:
+    """Of pairs (a, b), those of similar sizes and sketches; ``odd`` is (id, n_shingles, odd)."""
+    a = odd.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("odd").alias("oa"))
+    b = odd.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("odd").alias("ob"))
+    near = pairs.join(a, "a").join(b, "b").where(_similar_sizes("na", "nb", threshold))
+    return near.where(odd_distance("oa", "ob") <= MAX_ODD_BITS).select("a", "b")
 
-    def sifted(pairs: DataFrame) -> DataFrame:
-        a = odd.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("odd").alias("oa"))
-        b = odd.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("odd").alias("ob"))
-        near = pairs.join(a, "a").join(b, "b").where(_similar_sizes("na", "nb", threshold))
-        return near.where(odd_distance("oa", "ob") <= MAX_ODD_BITS).select("a", "b")
 
-    star = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    links = stored(confirmed(stored(sifted(star), "star"), docs, size, threshold), "links")
-    groups = connected_components(links).withColumnRenamed("node", "id")
-    grouped = members.join(groups, "id", "left").select("key", "id", "center", F.coalesce("component", "id").alias("component"))
-    grouped = stored(grouped, "grouped")
-    # Buckets whose members are in several components, each with the largest of these.
+def open_rows(grouped: DataFrame) -> DataFrame:
+    """Members (key, id, center, component) of buckets that still hold several components, with the largest of these.
+
+    The centre is left out: pairs with it have been compared.
+    """
     sizes = grouped.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("n", "component")).alias("most"))
     several = largest.where("groups > 1").select("key", F.col("most.component").alias("largest"))
-    # Pairs with a bucket's centre have been compared.
-    rest = grouped.where("id <> center").join(several, "key").join(odd, "id")
-    rest = stored(rest.select("key", "id", "component", "largest", "n_shingles", "odd"), "rest")
-    x = rest.where("component <> largest").select(
-        "key", F.col("id").alias("x"), F.col("component").alias("cx"), F.col("n_shingles").alias("nx"), F.col("odd").alias("ox")
-    )
-    y = rest.select(
-        "key",
-        F.col("id").alias("y"),
-        F.col("component").alias("cy"),
-        F.col("n_shingles").alias("ny"),
-        F.col("odd").alias("oy"),
-        (F.col("component") == F.col("largest")).alias("y_largest"),
-    )
-    once = F.col("y_largest") | (F.col("x") < F.col("y"))
-    near = (F.col("cx") != F.col("cy")) & once & _similar_sizes("nx", "ny", threshold) & (odd_distance("ox", "oy") <= MAX_ODD_BITS)
-    on = [F.col("l.key") == F.col("r.key"), near]
-    others = x.alias("l").join(y.alias("r"), on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    others = stored(others.distinct(), "others")
+    return grouped.where("id <> center").join(several, "key").select("key", "id", "component", "largest")
+
+
+def pairs_across(rest: DataFrame, threshold: int) -> DataFrame:
+    """Distinct pairs (a, b) of bucket members in different components that may be similar enough.
+
+    Rows are (key, id, component, largest, n_shingles, odd, prefix).  Members of the largest component of a bucket are not
+    paired with each other; the rest are paired once.
+    """
+    minor, known = F.col("component") != F.col("largest"), ("id", "component", "n_shingles", "odd", "prefix")
+    x = rest.where(minor).select(F.col("key").alias("kx"), *(F.col(c).alias(f"{c}_x") for c in known))
+    y = rest.select(F.col("key").alias("ky"), (~minor).alias("major_y"), *(F.col(c).alias(f"{c}_y") for c in known))
+    across = (F.col("component_x") != F.col("component_y")) & (F.col("major_y") | (F.col("id_x") < F.col("id_y")))
+    alike = _similar_sizes("n_shingles_x", "n_shingles_y", threshold) & (odd_distance("odd_x", "odd_y") <= MAX_ODD_BITS)
+    possible = _may_share_enough("prefix_x", "prefix_y", "n_shingles_x", "n_shingles_y", threshold)
+    found = x.join(y, (F.col("kx") == F.col("ky")) & across & alike & possible)
+    return found.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
+def candidate_links(nodes: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Confirmed links (a, b) between nodes: enough of them that components come out as with all links."""
+    odd = nodes.select("id", "n_shingles", "odd")
+    keyed = nodes.select("id", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").select("key", "center")
+    members = stored(keyed.join(buckets, "key"), "members", True)
+    pairs = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    star = stored(sifted(pairs, odd, threshold), "star", True)
+    in_star = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    links = stored(confirmed(star, stored(shingle_sets(in_star, docs, size), "sets", True), threshold), "links", True)
+    groups = connected_components(links).withColumnRenamed("node", "id")
+    grouped = stored(members.join(groups, "id", "left").select("key", "id", "center", F.coalesce("component", "id").alias("component")), "grouped", True)
+    rest = stored(open_rows(grouped), "rest", True)
+    if rest.isEmpty():
+        return links
+    sets = stored(shingle_sets(rest.select("id").distinct(), docs, size), "sets", True)
+    known = rest.join(odd, "id").join(rare_prefixes(sets, threshold), "id", "left")
+    others = stored(pairs_across(known, threshold), "others", True)
     if others.isEmpty():
         return links
-    return links.unionByName(confirmed(others, docs, size, threshold))
+    return links.unionByName(stored(confirmed(others, sets, threshold), "links", True))
 
 
 def near_duplicates(
@@ -259,10 +303,10 @@ def near_duplicates(
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = stored(own.mapInPandas(_sketches(size), SKETCH_SCHEMA), "sketches")
     sets = sketches.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = stored(sets.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes")
+    classes = sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     reps = classes.select(F.col("rep").alias("id"), "k1", "k2")
     nodes = sets.join(reps, ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"])
-    nodes = stored(nodes.select("id", "n_shingles", "bands", "odd"), "nodes")
+    nodes = stored(nodes.select("id", "n_shingles", "bands", "odd"), "nodes", True)
     links = candidate_links(nodes, own, size, threshold)
     # Rows that share an id are one document, whatever their texts.
     same_id = sets.join(classes, ["k1", "k2"]).where("id <> rep").groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))

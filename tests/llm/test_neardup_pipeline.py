@@ -9,6 +9,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folioscope.llm import language, neardup, quality, secrets
@@ -121,9 +122,21 @@ def test_odd_sketches_and_bands_do_not_miss_pairs_at_the_threshold():
     assert missed == 0 and worst <= neardup.MAX_ODD_BITS
 
 
-def test_bound_on_intersections(spark):
-    sets = spark.createDataFrame([(1, [1, 2, 3]), (2, [2, 3, 4]), (3, [9])], "id long, shingles array<long>")
-    assert {(r.id, r.common) for r in neardup.shared_sizes(sets).collect()} == {(1, 2), (2, 2), (3, 0)}
+def test_prefixes_drop_no_link_and_many_others(spark):
+    rnd = random.Random(5)
+    base = rnd.sample(range(10**9), 100)
+    sets = [(i, sorted(rnd.sample(base, k := rnd.randrange(70, 100)) + [rnd.randrange(10**9, 2 * 10**9) for _ in range(100 - k)])) for i in range(60)]
+    df = spark.createDataFrame([*sets, (99, [1]), (99, [2])], "id long, shingles array<long>")
+    prefixes = neardup.rare_prefixes(df, 80).collect()
+    assert {r.id for r in prefixes} == set(range(60)) and all(len(r.prefix) == 21 for r in prefixes)
+    own = {i: set(s) for i, s in sets}
+    x = spark.createDataFrame(prefixes).withColumn("n", F.lit(100))
+    a, b = (x.select(*(F.col(c).alias(f"{c}_{k}") for c in x.columns)) for k in "xy")
+    pairs = a.join(b, F.col("id_x") < F.col("id_y")).select("id_x", "id_y", neardup._may_share_enough("prefix_x", "prefix_y", "n_x", "n_y", 80).alias("may"))
+    found = {(r.id_x, r.id_y): r.may for r in pairs.collect()}
+    true = {p for p in found if 100 * len(own[p[0]] & own[p[1]]) >= 80 * len(own[p[0]] | own[p[1]])}
+    kept = {p for p, may in found.items() if may}
+    assert true and true <= kept and len(kept) < len(found) / 2
 
 
 # --- the pipeline
