@@ -33,7 +33,6 @@ def _(t: Tables) -> DataFrame:
     return review.page_index(t["v_text_pages"])
 
 
-_CLAIMED = "SELECT doc_id AS item, cast(floor(doc_id / 5.0) AS bigint) AS doc, n_chars FROM {documents}"
 
 
 def claims(t: Tables) -> DataFrame:

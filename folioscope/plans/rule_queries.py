@@ -151,7 +151,7 @@ def _(t: Tables) -> DataFrame:
 
 # --- scalars -----------------------------------------------------------------------------------------------------
 
-_MODEL = "CASE event_id % 6 WHEN 0 THEN 'anthropic.claude-opus-4-7' WHEN 1 THEN 'claude-sonnet-4.6' WHEN 2 THEN 'claude-haiku-5' WHEN 3 THEN 'claude-opus-4-10' WHEN 4 THEN 'other-model-1' ELSE 'claude-instant' END"
+_MODEL = "CASE event_id % 6 WHEN 0 THEN 'anthropic.claude-example-4-7' WHEN 1 THEN 'claude-sample-4.6' WHEN 2 THEN 'claude-small-5' WHEN 3 THEN 'claude-example-4-10' WHEN 4 THEN 'other-model-1' ELSE 'claude-instant' END"
 
 
 @query(
@@ -166,7 +166,7 @@ def _(t: Tables) -> DataFrame:
     return t["events"].select("event_id", g["major"].alias("major"), g["minor"].alias("minor"), limits.long_edge(m).alias("long_edge"))
 
 
-_AGENTS = [("page", "p1", "claude-opus-4-7"), ("feedback", "p2", "claude-sonnet-4-5"), ("copy_editor", "p3", "claude-opus-5"), ("builder", "p1", "x"), ("reader", "p4", "claude-a-1")]
+_AGENTS = [("page", "p1", "claude-example-4-7"), ("feedback", "p2", "claude-sample-4-5"), ("copy_editor", "p3", "claude-example-5"), ("builder", "p1", "x"), ("reader", "p4", "claude-a-1")]
 _PROVIDERS = [("p1", 4_000_000, None, None), ("p2", None, 3_500_000, None), ("p3", None, None, 1200), ("p4", 1, 1, 1)]
 
 

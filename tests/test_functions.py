@@ -71,7 +71,7 @@ def test_urls(spark):
 
 def test_limits(spark):
     assert values(spark, limits.human_bytes, [1023, 1024, 1048575, 1048576, 5 * 1048576, 1572864, 1992294], "long") == ["0 KB", "1 KB", "1023 KB", "1 MB", "5 MB", "1.5 MB", "1.8 MB"]
-    ids = ["claude-opus-4-7", "claude-opus-4.10", "claude-haiku-5", "claude-sonnet-4", "gpt-9", None]
+    ids = ["claude-example-4-7", "claude-example-4.10", "claude-small-5", "claude-sample-4", "gpt-9", None]
     assert values(spark, limits.long_edge, ids) == [2576, 2576, 2576, 1568, 1568, 1568]
     assert values(spark, lambda c: limits.positive_int(c, 7), ["", "x", "0", "-1", "2.9", "NaN", "Infinity", None, " 4 "]) == [7, 7, 7, 7, 2, 7, 7, 7, 4]
     assert values(spark, limits.concurrency, ["0", "99", "x"]) == [1, 16, 5]
