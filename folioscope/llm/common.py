@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, compact: bool = False, folder: str = "") -> DataFrame:
     """``df`` written once as Parquet under the shared folder and read back.
 
     The copy cuts the lineage, survives a lost executor and lets later plans read only the columns
@@ -43,11 +43,25 @@ def stored(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
     so that they take few files, and splits large partitions.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     (df.hint("rebalance") if compact else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables that a computation needs until it is done; ``drop`` deletes them from the shared folder."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name, True, self.folder)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def span_text(spans: Iterable[Span], order: Sequence[str]) -> str:
     """``kind:start:end`` by start, then by the kind's place in ``order``, comma-joined."""
     rank = {k: i for i, k in enumerate(order)}

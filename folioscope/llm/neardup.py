@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, may_hold
-from .common import stored
+from .common import Scratch, stored
 
 SHINGLE = 4
 THRESHOLD = 80
@@ -210,32 +210,35 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Each round hooks a node to its smallest smaller neighbour, shortens the paths to their roots, and puts roots
     in place of nodes in the edges, until no edge is left.  Rounds are written to the shared folder.
     """
+    keep = Scratch(edges.sparkSession, "components")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
-    left = stored(edges.where("a <> b").select(*pair).distinct(), "edges", True)
+    left = keep(edges.where("a <> b").select(*pair).distinct(), "edges")
     nodes = None
     while not left.isEmpty():
-        roots = stored(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "hooks", True)
+        roots = keep(left.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "hooks")
         while True:
             up = roots.select(F.col("node").alias("root"), F.col("root").alias("higher"))
             longer = roots.join(up, "root")
             if longer.isEmpty():
                 break
             jumped = roots.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
-            roots = stored(jumped, "hooks", True)
+            roots = keep(jumped, "hooks")
         a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         moved = left.join(a, "a", "left").join(b, "b").select(F.coalesce("ra", "a").alias("a"), F.col("rb").alias("b"))
-        left = stored(moved.where("a <> b").select(*pair).distinct(), "edges", True)
+        left = keep(moved.where("a <> b").select(*pair).distinct(), "edges")
         if nodes is None:
             nodes = roots
         else:
             up = roots.select(F.col("node").alias("root"), F.col("root").alias("higher"))
             older = nodes.join(up, "root", "left").select("node", F.coalesce("higher", "root").alias("root"))
-            nodes = stored(older.unionByName(roots), "nodes", True)
+            nodes = keep(older.unionByName(roots), "nodes")
     if nodes is None:
-        return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        nodes = left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     own = nodes.select(F.col("root").alias("node"), F.col("root").alias("component")).distinct()
-    return nodes.select("node", F.col("root").alias("component")).unionByName(own)
+    named = stored(nodes.select("node", F.col("root").alias("component")).unionByName(own), "components", True)
+    keep.drop()
+    return named
 
 
 def sifted(pairs: DataFrame, odd: DataFrame, threshold: int) -> DataFrame:
@@ -275,25 +278,36 @@ def pairs_across(rest: DataFrame, threshold: int) -> DataFrame:
 
 def candidate_links(nodes: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """Confirmed links (a, b) between nodes: enough of them that components come out as with all links."""
+    keep = Scratch(nodes.sparkSession, "candidates")
+    nodes = keep(nodes, "nodes")
     odd = nodes.select("id", "n_shingles", "odd")
     keyed = nodes.select("id", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("id").alias("center"), F.count("*").alias("n")).where("n > 1").select("key", "center")
-    members = stored(keyed.join(buckets, "key"), "members", True)
+    members = keep(keyed.join(buckets, "key"), "members")
     pairs = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    star = stored(sifted(pairs, odd, threshold), "star", True)
+    star = keep(sifted(pairs, odd, threshold), "star")
     in_star = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = stored(confirmed(star, stored(shingle_sets(in_star, docs, size), "sets", True), threshold), "links", True)
+    links = keep(confirmed(star, keep(shingle_sets(in_star, docs, size), "sets"), threshold), "links")
     groups = connected_components(links).withColumnRenamed("node", "id")
-    grouped = stored(members.join(groups, "id", "left").select("key", "id", "center", F.coalesce("component", "id").alias("component")), "grouped", True)
-    rest = stored(open_rows(grouped), "rest", True)
-    if rest.isEmpty():
-        return links
-    sets = stored(shingle_sets(rest.select("id").distinct(), docs, size), "sets", True)
-    known = rest.join(odd, "id").join(rare_prefixes(sets, threshold), "id", "left")
-    others = stored(pairs_across(known, threshold), "others", True)
-    if others.isEmpty():
-        return links
-    return links.unionByName(stored(confirmed(others, sets, threshold), "links", True))
+    grouped = keep(members.join(groups, "id", "left").select("key", "id", "center", F.coalesce("component", "id").alias("component")), "grouped")
+    rest = keep(open_rows(grouped), "rest")
+    if not rest.isEmpty():
+        sets = keep(shingle_sets(rest.select("id").distinct(), docs, size), "sets")
+        known = rest.join(odd, "id").join(rare_prefixes(sets, threshold), "id", "left")
+        others = keep(pairs_across(known, threshold), "others")
+        links = links.unionByName(confirmed(others, sets, threshold))
+    found = stored(links, "links", True)
+    keep.drop()
+    return found
+
+
+def same_id_links(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of rows that share an id and differ in their sets; mostly there are none."""
+    digest = F.struct("k1", "k2")
+    several = sets.groupBy("id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).where("low <> high").select("id")
+    reps = sets.join(several, "id", "left_semi").join(classes, ["k1", "k2"]).select("id", "rep").distinct()
+    first = reps.groupBy("id").agg(F.min("rep").alias("a"))
+    return reps.join(first, "id").select("a", F.col("rep").alias("b"))
 
 
 def near_duplicates(
@@ -303,16 +317,14 @@ def near_duplicates(
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = stored(own.mapInPandas(_sketches(size), SKETCH_SCHEMA), "sketches")
     sets = sketches.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = sets.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    # Written before they are joined: the plan can then split the rows of a digest that very many documents have.
+    classes = stored(sets.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes", True)
     reps = classes.select(F.col("rep").alias("id"), "k1", "k2")
     nodes = sets.join(reps, ["id", "k1", "k2"], "left_semi").dropDuplicates(["id", "k1", "k2"])
-    nodes = stored(nodes.select("id", "n_shingles", "bands", "odd"), "nodes", True)
-    links = candidate_links(nodes, own, size, threshold)
-    # Rows that share an id are one document, whatever their texts.
-    same_id = sets.join(classes, ["k1", "k2"]).where("id <> rep").groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-    twice = same_id.where("low <> high").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    components = connected_components(links.unionByName(twice))
-    named = classes.join(components, classes.rep == components.node, "left").select("k1", "k2", F.coalesce("component", "rep").alias("component_id"))
+    links = candidate_links(nodes.select("id", "n_shingles", "bands", "odd"), own, size, threshold)
+    components = connected_components(links.unionByName(same_id_links(sets, classes)))
+    named = classes.join(components, classes.rep == components.node, "left")
+    named = stored(named.select("k1", "k2", F.coalesce("component", "rep").alias("component_id")), "named", True)
     linked = sets.join(named, ["k1", "k2"]).select("id", "n_shingles", "component_id")
     alone = sketches.where("n_shingles = 0 OR id IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
     out = linked.unionByName(alone)
