@@ -30,6 +30,8 @@ UNKNOWN = "und"
 PROFILE_SIZE = 300
 #: The expected number of labelled documents of each language that profiles are fitted on.
 FIT_ROWS = 1000
+#: The bound on languages that profiles are made for: those with the most labelled documents.
+MAX_LANGUAGES = 500
 _NGRAM_BITS = 21
 
 PREDICTION = T.StructType(
@@ -122,7 +124,8 @@ def fit_profiles(
     """
     langs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     h = F.xxhash64(F.col(id_col).cast("string"))
-    counts = {r["lang"]: r["n"] for r in langs.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
+    labels = langs.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in labels.collect()}
     if not counts:
         return Profiles({})
     near = F.lit(False)
