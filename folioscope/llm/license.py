@@ -1,10 +1,11 @@
 """Licence scan: sparse TF-IDF cosine of lines to templates, then inheritance from the nearest directory above.
 
-Lines with a licence cue are compared with licence templates.  Terms weigh their count times the inverse
-document frequency over the templates; the cosine is summed over shared terms only.  Each distinct line is
-scored once, however many documents hold it.  The best line gives a document its own licence.
+Where a text has a licence cue, its lines with one (headers) and the whole of it (licence files) are compared with
+licence templates.  Terms weigh their count times the inverse document frequency over the templates; the
+cosine is summed over shared terms only.  Each distinct line or text is scored once, however many documents hold
+it.  The best match gives a document its own licence.
 
-A document most of which is a licence is the licence file of its directory.  A document without a licence of
+A document that matches as a whole, or whose matching lines hold a good part of it, is the licence file of its directory.  A document without a licence of
 its own inherits that of the licence file in the nearest directory above it: directories, not documents, are
 joined to their ancestors, and documents take the result of their directory by an equi-join.
 
@@ -15,11 +16,12 @@ the best line of all of them.  Empty tables give empty results.  Only the named
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The least cosine for a licence.
@@ -29,7 +31,7 @@ FILE_SHARE = 0.25
 
 CUE = r"(?i)licen[sc]e|licensed|copyright|spdx|creative commons|public domain"
 
-#: Names and the words that headers and licence files use for them.
+#: Names and the words of headers; after a slash, of licence files (their opening, as far as it tells licences apart).
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Released under the BSD 3-Clause License. Redistribution and use in source and binary forms.",
@@ -43,6 +45,16 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "Copyright. All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "Apache-2.0/file": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
+    "BSD-3-Clause/file": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
+    " conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "GPL-3.0/file": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Everyone is permitted to copy and distribute verbatim copies of this"
+    " license document, but changing it is not allowed.",
+    "ISC/file": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided"
+    " that the above copyright notice and this permission notice appear in all copies.",
+    "MIT/file": "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
+    " documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,"
+    " publish, distribute, sublicense, and/or sell copies of the Software",
 }
 
 _WORD = "[a-z0-9]+"
@@ -60,30 +72,31 @@ def weights(templates: dict[str, str] = TEMPLATES) -> tuple[dict[str, float], fl
     return idf, math.log(1 + len(templates)) + 1, scaled
 
 
-def term_table(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(term, idf, one column w<i> for each template); a few rows a template."""
+def term_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """(term, idf, one column w<i> for each template); a few rows a template, from one constant of the plan."""
     idf, _, scaled = weights(templates)
     names = sorted(templates)
-    rows = [(t, i, *(scaled[n].get(t, 0.0) for n in names)) for t, i in sorted(idf.items())]
-    schema = "term string, idf double, " + ", ".join(f"w{k} double" for k in range(len(names)))
-    return docs.sparkSession.createDataFrame(rows, schema)
+    rows = [{"term": t, "idf": i} | {f"w{k}": scaled[n].get(t, 0.0) for k, n in enumerate(names)} for t, i in sorted(idf.items())]
+    row = "term: string, idf: double, " + ", ".join(f"w{k}: double" for k in range(len(names)))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{row}>>")))
 
 
-def scored_lines(lines: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(line, license, score) of each distinct line, where a template is similar enough."""
+def scored(units: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
+    """(key, license, score) of each distinct unit of text (key, unit), where a template is similar enough."""
     names, (_, unknown, _) = sorted(templates), weights(templates)
-    words = F.regexp_extract_all(F.lower("line"), F.lit(_WORD), F.lit(0))
-    terms = lines.select("line").distinct().select("line", F.explode(words).alias("term"))
-    counted = terms.groupBy("line", "term").agg(F.count("*").alias("n"))
-    joined = counted.join(F.broadcast(term_table(lines, templates)), "term", "left")
+    words = F.regexp_extract_all(F.lower("unit"), F.lit(_WORD), F.lit(0))
+    terms = units.dropDuplicates(["key"]).select("key", F.explode(words).alias("term"))
+    counted = terms.groupBy("key", "term").agg(F.count("*").alias("n"))
+    joined = counted.join(F.broadcast(term_table(units.sparkSession, templates)), "term", "left")
     weight = F.col("n") * F.coalesce("idf", F.lit(unknown))
-    sums = joined.groupBy("line").agg(
+    sums = joined.groupBy("key").agg(
         F.sqrt(F.sum(weight * weight)).alias("size"), *(F.sum(weight * F.coalesce(f"w{k}", F.lit(0.0))).alias(f"d{k}") for k in range(len(names)))
     )
     # Greatest first, then the earlier name.
     best = F.greatest(*(F.struct(F.round(F.col(f"d{k}") / F.col("size"), 6).alias("score"), F.lit(-k).alias("place")) for k in range(len(names))))
-    named = sums.select("line", best.alias("best")).where(F.col("best.score") >= MIN_COSINE)
-    return named.select("line", F.get(F.array(*map(F.lit, names)), -F.col("best.place")).alias("license"), F.col("best.score").alias("score"))
+    named = sums.select("key", best.alias("best")).where(F.col("best.score") >= MIN_COSINE)
+    licenses = F.array(*(F.lit(n.split("/")[0]) for n in names))
+    return named.select("key", F.get(licenses, -F.col("best.place")).alias("license"), F.col("best.score").alias("score"))
 
 
 def directory(path: Column) -> Column:
@@ -100,16 +113,16 @@ def ancestors(folder: Column) -> Column:
 def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(id, path, own_license, own_score, license, inherited_from) of every row."""
     own = docs.select(F.col(id_col).alias("_id"), path.alias("path"), F.col(text_col).alias("_text"))
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(CUE))
-    with_cue = own.where(F.col("_text").rlike(CUE)).select("_id", "path", F.char_length("_text").alias("_n"), F.explode(lines).alias("line"))
-    hits = with_cue.join(scored_lines(with_cue, templates), "line")
-    best = hits.groupBy("_id").agg(
-        F.max("score").alias("own_score"),
-        F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("own_license"),
-    )
+    lines = F.transform(F.filter(F.split("_text", "\n"), lambda x: x.rlike(CUE)), lambda x: F.struct(x.alias("unit"), F.lit(False).alias("whole")))
+    units = F.concat(lines, F.array(F.struct(F.col("_text").alias("unit"), F.lit(True).alias("whole"))))
+    with_cue = own.where(F.col("_text").rlike(CUE)).select("_id", "path", F.char_length("_text").alias("_n"), F.explode(units).alias("u"))
+    with_cue = with_cue.select("_id", "path", "_n", "u.*", F.sha2(F.col("u.unit").cast("binary"), 256).alias("key"))
+    hits = with_cue.select("_id", "path", "_n", "whole", "key", F.char_length("unit").alias("length")).join(scored(with_cue.select("key", "unit"), templates), "key")
+    order = F.struct(-F.col("score"), F.col("license"))
+    best = hits.groupBy("_id").agg(F.max("score").alias("own_score"), F.min_by("license", order).alias("own_license"))
     # Licence files: by directory, the one of the greatest score, then of the first path.
     files = hits.groupBy("_id", "path", "_n").agg(
-        F.sum(F.char_length("line")).alias("held"), F.max("score").alias("score"), F.min_by("license", F.struct(-F.col("score"), F.col("license"))).alias("license")
+        F.sum(F.when(F.col("whole"), F.col("_n")).otherwise(F.col("length"))).alias("held"), F.max("score").alias("score"), F.min_by("license", order).alias("license")
     )
     files = files.where(F.col("held") >= FILE_SHARE * F.col("_n")).withColumn("folder", directory(F.col("path"))).where("folder IS NOT NULL")
     files = files.groupBy("folder").agg(F.min_by(F.struct("license", "path"), F.struct(-F.col("score"), F.col("path"))).alias("f"))
