@@ -136,30 +136,32 @@ own AS (
          concat_ws('/', coalesce(source, 'unknown'), doc_id // 10000, doc_id // 100, doc_id) AS path,
          concat_ws('/', coalesce(source, 'unknown'), doc_id // 10000, doc_id // 100) AS folder
   FROM documents
+), cued AS (
+  SELECT * FROM own WHERE regexp_matches(text, '{cue}', 'i')
 ), cues AS (
-  SELECT * FROM (SELECT row_id, doc_id, path, folder, n, unnest(string_split(text, chr(10))) AS line FROM own)
-  WHERE regexp_matches(line, '{cue}', 'i')
+  SELECT row_id, doc_id, path, folder, n, unit, false AS whole FROM (SELECT *, unnest(string_split(text, chr(10))) AS unit FROM cued) WHERE regexp_matches(unit, '{cue}', 'i')
+  UNION ALL SELECT row_id, doc_id, path, folder, n, text, true FROM cued
 ), counted AS (
-  SELECT line, term, count(*) AS k
-  FROM (SELECT line, unnest(regexp_extract_all(lower(line), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT line FROM cues))
+  SELECT unit, term, count(*) AS k
+  FROM (SELECT unit, unnest(regexp_extract_all(lower(unit), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT unit FROM cues))
   GROUP BY ALL
 ), sizes AS (
-  SELECT line, sqrt(sum((k * coalesce(idf, {unknown!r}::DOUBLE)) ** 2)) AS size
-  FROM counted LEFT JOIN idfs USING (term) GROUP BY line
+  SELECT unit, sqrt(sum((k * coalesce(idf, {unknown!r}::DOUBLE)) ** 2)) AS size
+  FROM counted LEFT JOIN idfs USING (term) GROUP BY unit
 ), cosines AS (
-  SELECT line, license, round(sum(k * idf * w) / any_value(size), 6) AS score
-  FROM counted JOIN terms USING (term) JOIN sizes USING (line) GROUP BY line, license
+  SELECT unit, license, round(sum(k * idf * w) / any_value(size), 6) AS score
+  FROM counted JOIN terms USING (term) JOIN sizes USING (unit) GROUP BY unit, license
 ), scored AS (
-  SELECT line, license, score FROM cosines WHERE score >= {license.MIN_COSINE}
-  QUALIFY row_number() OVER (PARTITION BY line ORDER BY score DESC, license) = 1
+  SELECT unit, split_part(license, '/', 1) AS license, score FROM cosines WHERE score >= {license.MIN_COSINE}
+  QUALIFY row_number() OVER (PARTITION BY unit ORDER BY score DESC, license) = 1
 ), hits AS (
-  SELECT * FROM cues JOIN scored USING (line)
+  SELECT * FROM cues JOIN scored USING (unit)
 ), best AS (
   SELECT doc_id, license AS own_license, score AS own_score FROM hits
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1
 ), files AS (
   SELECT folder, license, path FROM (
-    SELECT doc_id, path, folder, n, sum(length(line)) AS held, max(score) AS score, first(license ORDER BY score DESC, license) AS license
+    SELECT doc_id, path, folder, n, sum(CASE WHEN whole THEN n ELSE length(unit) END) AS held, max(score) AS score, first(license ORDER BY score DESC, license) AS license
     FROM hits GROUP BY doc_id, path, folder, n)
   WHERE held >= {license.FILE_SHARE} * n
   QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, path) = 1
@@ -203,4 +205,79 @@ SELECT page_id, host, path, rule, CASE
 FROM judged
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": _op2_sql(), "op5_quality_rules": _OP5_SQL, "op10_url_filter": _OP10_SQL}
+def _spans_sql(kinds: dict[str, tuple[str, str]], counts: str, order: str) -> str:
+    """SQL that finds the base spans of kinds (pattern, test of ``s``): matches lie between the pieces of a split."""
+    found = " UNION ALL ".join(
+        f"SELECT row_id, '{k}' AS kind, {i} AS place, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS p FROM d"
+        for i, (k, (p, _)) in enumerate(kinds.items())
+    )
+    good = " ".join(f"WHEN '{k}' THEN {test}" for k, (_, test) in kinds.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents), found AS ({found}), each AS (
+  SELECT row_id, kind, place, m[i] AS s,
+         CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start
+  FROM (SELECT *, unnest(generate_series(1, len(m))) AS i FROM found)
+), good AS (
+  SELECT row_id, kind, place, start, kind || ':' || start || ':' || (start + length(s)) AS said FROM each WHERE CASE kind {good} END
+), spans AS (
+  SELECT row_id, {counts}, string_agg(said, ',' ORDER BY {order}) AS spans FROM good GROUP BY row_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in kinds)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN spans USING (row_id)
+"""
+
+
+def _counts(kinds: dict) -> str:
+    return ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in kinds)
+
+
+_CUES = "|".join("".join(f"[{c}{c.upper()}]" for c in w) for w in ("password", "passwd", "secret", "token", "api")) + "_?[kK][eE][yY]"
+_ASSIGN = rf"""({_CUES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: SQL has no checksum for the kinds the method adds; the test tables hold none of these.
+_SECRET_KINDS = {
+    "assign": (_ASSIGN, f"length(regexp_extract(s, '{_ASSIGN}', 2)) >= 12"),
+    "access": ("AKIA[A-Z0-9]+", "length(s) >= 18"),
+    "hex": ("[0-9a-f]{16,}", "true"),
+}
+_DIGITS = "regexp_replace(s, '[^0-9]', '', 'g')"
+_LUHN = (
+    f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(substr(reverse({_DIGITS}), i, 1) AS INT)"
+    f" ELSE 2 * CAST(substr(reverse({_DIGITS}), i, 1) AS INT) - CASE WHEN substr(reverse({_DIGITS}), i, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0"
+)
+_PII_KINDS = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(s, '.'), lambda x: length(ltrim(x, '0')) > 3 OR try_cast(right(x, 3) AS INT) > 255)) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15"),
+}
+
+_OP9_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, least(len(w), 1)))) AS i FROM words)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), components AS (
+  SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN components USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_secret_scan": _spans_sql(_SECRET_KINDS, _counts(_SECRET_KINDS), "start, place"),
+    "op4_pii": _spans_sql(_PII_KINDS, _counts(_PII_KINDS), "place, start"),
+    "op2_license_scan": _op2_sql(),
+    "op5_quality_rules": _OP5_SQL,
+    "op9_near_duplicates": _OP9_SQL,
+    "op10_url_filter": _OP10_SQL,
+}

@@ -132,6 +132,14 @@ def test_bloom_filter_misses_nothing(spark):
     assert own.where("hit AND id % 3 = 0").count() == 10_000 and hits < 11_500
 
 
+def test_native_operators_run_no_python(spark):
+    from folioscope.llm.queries import QUERIES
+
+    for name in ("op2_license_scan", "op7_winnowing", "op10_url_filter"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "ExistingRDD", "CartesianProduct", "NestedLoop")), name
+
+
 # --- licences
 
 
@@ -155,6 +163,13 @@ def test_licences(docs):
 
 
 def test_templates_are_their_own_best_match(spark):
-    lines = spark.createDataFrame([(t,) for t in license.TEMPLATES.values()], "line string")
-    found = {r.line: (r.license, r.score) for r in license.scored_lines(lines).collect()}
-    assert found == {t: (n, 1.0) for n, t in license.TEMPLATES.items()}
+    lines = spark.createDataFrame([(n, t) for n, t in license.TEMPLATES.items()], "key string, unit string")
+    found = {r.key: (r.license, r.score) for r in license.scored(lines).collect()}
+    assert found == {n: (n.split("/")[0], 1.0) for n in license.TEMPLATES}
+
+
+def test_licence_files(docs):
+    body = license.TEMPLATES["MIT/file"].replace(", ", ",\n")
+    df = docs([(1, body + "\nCopyright (c) Someone"), (2, "plain")])
+    path = F.concat(F.lit("src/lib/"), F.col("doc_id").cast("string"))
+    assert [(r.own_license, r.license, r.inherited_from) for r in license.scan_licenses(df, path).orderBy("doc_id").collect()] == [("MIT", "MIT", None), (None, "MIT", "src/lib/1")]
