@@ -415,9 +415,18 @@ def _(t: Tables) -> DataFrame:
     return scheduling.stalls(t["v_chunks"])
 
 
-@query("q_token_cache")
+@query(
+    "q_token_cache",
+    """WITH RECURSIVE l AS (SELECT event_id % 40 AS client, event_id AS request_id, event_id * 7 + event_id % 11 AS at_s FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY at_s, request_id) AS n FROM l),
+r AS (SELECT client, request_id, n, at_s AS made, false AS hit FROM n WHERE n = 1
+  UNION ALL SELECT n.client, n.request_id, n.n, CASE WHEN n.at_s - r.made < 300 THEN r.made ELSE n.at_s END, n.at_s - r.made < 300 FROM r JOIN n ON n.client = r.client AND n.n = r.n + 1)
+SELECT client, request_id, hit FROM r""",
+)
 def _(t: Tables) -> DataFrame:
-    return scheduling.token_cache(crowd(t))
+    i = F.col("event_id")
+    moment = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=i * 7 + i % 11)
+    return scheduling.token_cache(t["events"].select((i % 40).alias("client"), i.alias("request_id"), moment.alias("ts")))
 
 
 @query(

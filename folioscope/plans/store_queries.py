@@ -207,7 +207,13 @@ def _(t: Tables) -> DataFrame:
     return store.winning_claims(t.spark.sql(_CLAIMS, events=t["events"]))
 
 
-@query("q_compare_and_set")
+@query(
+    "q_compare_and_set",
+    f"""WITH RECURSIVE m AS ({_MOVES_SQL}), c AS (SELECT session_id, seq AS claim_id, status, row_number() OVER (PARTITION BY session_id ORDER BY ts, seq) AS n FROM m),
+r AS (SELECT session_id, claim_id, n, session_id % 5 <> 0 AS claimed, CASE WHEN session_id % 5 <> 0 THEN status END AS now FROM c WHERE n = 1
+  UNION ALL SELECT c.session_id, c.claim_id, c.n, coalesce(r.now = 'ready_for_review', false), CASE WHEN r.now = 'ready_for_review' THEN c.status ELSE r.now END FROM r JOIN c ON c.session_id = r.session_id AND c.n = r.n + 1)
+SELECT session_id, claim_id, claimed FROM r""",
+)
 def _(t: Tables) -> DataFrame:
     claims = moves(t).select("session_id", F.col("seq").alias("claim_id"), "ts", F.lit("ready_for_review").alias("expected"), "status")
     sessions = t["events"].select(F.col("user_id").alias("session_id")).distinct().where("session_id % 5 <> 0").withColumn("status", F.lit("ready_for_review"))
