@@ -102,7 +102,16 @@ def _(t: Tables) -> DataFrame:
     return runlog.in_flight(t["v_run_log"])
 
 
-@query("q_in_flight_exact")
+@query(
+    "q_in_flight_exact",
+    """WITH RECURSIVE c AS (SELECT session_id, ts, line, type, coalesce(agent, '?') || '|' || coalesce(model, '?') || '|' || coalesce(capability, '?') AS key,
+  row_number() OVER (PARTITION BY session_id ORDER BY line) AS n FROM v_run_log WHERE type IN ('model_call_start', 'model_call')),
+r AS (SELECT session_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(key VARCHAR, ts TIMESTAMP, line BIGINT)[]) AS opened FROM (SELECT DISTINCT session_id FROM c)
+  UNION ALL SELECT session_id, n, CASE WHEN type = 'model_call_start' THEN list_append(opened, {'key': key, 'ts': ts, 'line': line}) ELSE list_concat(opened[1:k - 1], opened[k + 1:]) END
+  FROM (SELECT c.*, r.opened, coalesce(list_position(list_transform(r.opened, lambda x: x.key), c.key), 1) AS k FROM r JOIN c ON c.session_id = r.session_id AND c.n = r.n + 1))
+SELECT session_id, o.key, o.ts, o.line FROM (SELECT session_id, unnest(max_by(opened, n)) AS o FROM r GROUP BY session_id)""",
+    ("v_run_log",),
+)
 def _(t: Tables) -> DataFrame:
     return runlog.in_flight_exact(t["v_run_log"])
 

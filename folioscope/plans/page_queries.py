@@ -266,6 +266,20 @@ def _(t: Tables) -> DataFrame:
     return t["pages"].select("page_id", udfs.flatten_html(F.col("html")).alias("announced"))
 
 
+@query(
+    "q_flatten_fragments",
+    """SELECT page_id, concat_ws(chr(10), '[Heading 2] T' || page_id, '[List item] one', '[List item] inner ' || page_id, '[Link] [Image alt] Logo go', '[Table] Fees [2 rows, 3 columns]', '[Header row] a | b [spans 2 columns]',
+  '[Row] ' || page_id || ' | [empty] | z', '[Field input email] Work v', '[Quote] said & done', 'tail') AS announced FROM pages""",
+)
+def _(t: Tables) -> DataFrame:
+    i = F.col("page_id").cast("string")
+    html = F.concat(
+        F.lit("<h2>T"), i, F.lit("</h2><ul><li>one<ul><li> inner "), i, F.lit('</ul></ul><p><a href="/x"><img alt="Logo"> go</a></p><table><caption>Fees</caption><tr><th>a<th colspan=2>b<tr><td>'), i,
+        F.lit('<td></td><td>z</table><input type="email" aria-label="Work" value="v"><blockquote><p>said &amp;\n done</p></blockquote><style>no</style>tail'),
+    )
+    return t["pages"].select("page_id", udfs.flatten_html(html).alias("announced"))
+
+
 @query(
     "q_lint_subset",
     """SELECT page_id, 'image-alt' AS id, 'critical' AS impact, CAST(1 AS BIGINT) AS nodes FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, 'heading-order', 'moderate', 1 FROM pages WHERE page_id % 3 = 0

@@ -369,7 +369,16 @@ def _(t: Tables) -> DataFrame:
     return scheduling.occupancy(t["v_requests"], 200_000)
 
 
-@query("q_admitted")
+@query(
+    "q_admitted",
+    """WITH RECURSIVE n AS (SELECT client, request_id, epoch_us(ts) / 1e6 AS at_s, hold_s, least(coalesce(declared_bytes, 200000), 200000) AS charge, row_number() OVER (PARTITION BY client ORDER BY ts, request_id) AS n FROM v_requests),
+r AS (SELECT client, request_id, n, true AS admitted, [{'ends': at_s + hold_s, 'charge': charge}] AS flying FROM n WHERE n = 1
+  UNION ALL SELECT client, request_id, n, ok, CASE WHEN ok THEN list_append(left_, {'ends': at_s + hold_s, 'charge': charge}) ELSE left_ END
+  FROM (SELECT *, len(left_) = 0 OR list_sum(list_transform(left_, lambda x: x.charge)) + charge <= 300000 AS ok
+    FROM (SELECT n.*, list_filter(r.flying, lambda x: x.ends > n.at_s) AS left_ FROM r JOIN n ON n.client = r.client AND n.n = r.n + 1)))
+SELECT client, request_id, admitted FROM r""",
+    ("v_requests",),
+)
 def _(t: Tables) -> DataFrame:
     return scheduling.admitted(t["v_requests"], 200_000, 300_000)
 
@@ -396,11 +405,17 @@ def _(t: Tables) -> DataFrame:
     return scheduling.queue_waits(jobs, 1).select("queue", "job_id", F.round("started_s", 3).alias("started_s"), F.round("waited_s", 3).alias("waited_s"))
 
 
-@query("q_queue_waits_two_slots")
+@query(
+    "q_queue_waits_two_slots",
+    """WITH RECURSIVE j AS (SELECT user_id AS queue, event_id AS job_id, epoch_us(ts) / 1e6 AS submit_s, floor(value) * 100 AS run_s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT queue, job_id, n, submit_s, submit_s AS started_s, 0.0::DOUBLE AS low, submit_s + run_s AS high FROM j WHERE n = 1
+  UNION ALL SELECT j.queue, j.job_id, j.n, j.submit_s, greatest(j.submit_s, low), least(high, greatest(j.submit_s, low) + j.run_s), greatest(high, greatest(j.submit_s, low) + j.run_s) FROM r JOIN j ON j.queue = r.queue AND j.n = r.n + 1)
+SELECT queue, job_id, round(started_s, 3) AS started_s, round(started_s - submit_s, 3) AS waited_s FROM r""",
+)
 def _(t: Tables) -> DataFrame:
     s = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     jobs = t["events"].select(F.col("user_id").alias("queue"), F.col("event_id").alias("job_id"), s.alias("submit_s"), (F.floor("value") * 100.0).alias("run_s"))
-    return scheduling.queue_waits(jobs, 2)
+    return scheduling.queue_waits(jobs, 2).select("queue", "job_id", F.round("started_s", 3).alias("started_s"), F.round("waited_s", 3).alias("waited_s"))
 
 
 @query(

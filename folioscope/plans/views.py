@@ -121,9 +121,12 @@ def oracle(sql: str, views: tuple[str, ...] = ()) -> str:
     body = sql.strip()
     if not heads:
         return body
-    if body[:5].upper() == "WITH ":
+    start = "WITH "
+    if body[:15].upper() == "WITH RECURSIVE ":
+        start, body = "WITH RECURSIVE ", ", " + body[15:]
+    elif body[:5].upper() == "WITH ":
         body = ", " + body[5:]
-    return "WITH " + ",\n".join(heads) + "\n" + body
+    return start + ",\n".join(heads) + "\n" + body
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
