@@ -19,7 +19,7 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sha256_hex
+from .common import sha256_hex, small_batches
 
 #: Fragments reach the first forced boundary after so many bytes.
 FRAGMENT_BYTES = 4096
@@ -59,12 +59,7 @@ def byte_letters() -> dict[str, int]:
 class ForcedBoundaryCodec:
     def __init__(self, path: str, fragment_bytes: int = FRAGMENT_BYTES):
         self.fragment_bytes = fragment_bytes
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
@@ -91,6 +86,17 @@ class ForcedBoundaryCodec:
         self.special_ids = special
         self.fast = self._rank_encoder(spec["model"])
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer library's own, for what the fast encoder does not take."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_file(self.path)
+        made.no_padding()
+        made.no_truncation()
+        return made
+
     def boundaries(self, raw: bytes) -> np.ndarray:
         """All forced boundaries of ``raw`` (UTF-8) that leave the first split as it is, ascending."""
         b = np.frombuffer(raw, np.uint8).astype(np.uint16)
@@ -157,7 +163,7 @@ def encode_ids(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         own = codec(path)
         return pd.Series([x.astype(np.int32) for x in own.encode_each(texts)], dtype=object)
 
-    return docs.select(F.col(id_col), ids(F.col(text_col)).alias("ids"))
+    return small_batches(docs).select(F.col(id_col), ids(F.col(text_col)).alias("ids"))
 
 
 def decode_ids(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -195,4 +201,4 @@ def round_trip_digests(docs: DataFrame, path: str | None = None, id_col: str = "
                 rows.append((len(ids), sha256_hex(ids.tobytes()), sha256_hex(own.decode(ids))))
             yield pd.DataFrame(rows, columns=DIGEST_TYPE.names)
 
-    return docs.select(F.col(id_col), digests(F.col(text_col)).alias("found")).select(id_col, "found.*")
+    return small_batches(docs).select(F.col(id_col), digests(F.col(text_col)).alias("found")).select(id_col, "found.*")

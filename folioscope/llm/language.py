@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 UNKNOWN = "und"
 PROFILE_SIZE = 300
 #: The expected number of labelled documents of each language that profiles are fitted on.
@@ -122,7 +124,7 @@ def fit_profiles(
 
     Counting is distributed; the driver gets one count and ``size`` integers a language.
     """
-    langs = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    langs = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     h = F.xxhash64(F.col(id_col).cast("string"))
     labels = langs.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     counts = {r["lang"]: r["n"] for r in labels.collect()}
@@ -165,5 +167,5 @@ def identify_language(
     """(id, held_out, lang_pred, score) of every row; profiles are fitted on the rows not held out."""
     if profiles is None:
         profiles = fit_profiles(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
-    out = docs.select(F.col(id_col), held_out(id_col).alias("held_out"), predictor(profiles)(F.col(text_col)).alias("p"))
+    out = small_batches(docs).select(F.col(id_col), held_out(id_col).alias("held_out"), predictor(profiles)(F.col(text_col)).alias("p"))
     return out.select(id_col, "held_out", "p.*")

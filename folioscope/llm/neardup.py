@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, may_hold
-from .common import Scratch, stored
+from .common import Scratch, small_batches, stored
 
 SHINGLE = 4
 THRESHOLD = 80
@@ -46,7 +46,7 @@ BANDS, ROWS = 48, 6
 ODD_SAMPLES, ODD_WORDS, MAX_ODD_BITS = 256, 8, 140
 SEED = 20_240_731
 #: Words whose hashes a worker keeps.
-WORD_TABLE = 400_000
+WORD_TABLE = 150_000
 
 SKETCH_SCHEMA = "id long, n_shingles long, k1 long, k2 long, bands array<long>, odd array<long>"
 SET_SCHEMA = "id long, shingles array<long>"
@@ -314,7 +314,7 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; kept is true for the smallest id of a component."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = stored(own.mapInPandas(_sketches(size), SKETCH_SCHEMA), "sketches")
     sets = sketches.where("n_shingles > 0 AND id IS NOT NULL")
     # Written before they are joined: the plan can then split the rows of a digest that very many documents have.

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import stored
+from .common import small_batches, stored
 
 SEQUENCE = 2048
 BLOCK = 32
@@ -265,7 +265,7 @@ def pack_documents(
     docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID
 ) -> DataFrame:
     """One row per piece: where in its document it begins, and where in which sequence it lies."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     pieces = stored(own.mapInPandas(piece_rows(path, end_id), PIECE_SCHEMA), "pieces")
     # Ranks begin at 0 in each task, so the greatest one counts a task's pieces of that length.
     counts = stored(pieces.groupBy("size", "part").agg((F.max("local_rank") + 1).alias("n")), "piece_counts")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Span, sha256_hex, span_text_by_kind
+from .common import Span, sha256_hex, small_batches, span_text_by_kind
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "login", "iban")
@@ -165,4 +165,4 @@ def _scan(texts: pd.Series) -> pd.DataFrame:
 
 def scan_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, counts of the base kinds, their digest, and all spans."""
-    return docs.select(F.col(id_col), _scan(F.col(text_col)).alias("found")).select(id_col, "found.*")
+    return small_batches(docs).select(F.col(id_col), _scan(F.col(text_col)).alias("found")).select(id_col, "found.*")

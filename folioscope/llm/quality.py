@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\v\f\r "
 
@@ -112,7 +114,7 @@ def policy_mask(policy: str | Iterable[str]) -> int:
 
 def rule_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, the measurements, and ``failed_bits``."""
-    measured = docs.select(F.col(id_col), _measure(F.col(text_col)).alias("m")).select(id_col, "m.*")
+    measured = small_batches(docs).select(F.col(id_col), _measure(F.col(text_col)).alias("m")).select(id_col, "m.*")
     return measured.withColumn("failed_bits", failure_bits())
 
 

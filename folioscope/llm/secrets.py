@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Span, sha256_hex, span_text
+from .common import Span, sha256_hex, small_batches, span_text
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "hosted", "package")
@@ -181,5 +181,5 @@ def secret_spans(text: Column) -> Column:
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: the id, counts of the base kinds, their digest, and all spans."""
-    found = docs.select(F.col(id_col), _scan(F.col(text_col)).alias("found"))
+    found = small_batches(docs).select(F.col(id_col), _scan(F.col(text_col)).alias("found"))
     return found.select(id_col, "found.*")
