@@ -24,6 +24,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: The least cosine for a licence.
 MIN_COSINE = 0.6
 #: The least share of a licence file's characters that lie in licence lines.
@@ -117,7 +119,9 @@ def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_co
     units = F.concat(lines, F.array(F.struct(F.col("_text").alias("unit"), F.lit(True).alias("whole"))))
     with_cue = own.where(F.col("_text").rlike(CUE)).select("_id", "path", F.char_length("_text").alias("_n"), F.explode(units).alias("u"))
     with_cue = with_cue.select("_id", "path", "_n", "u.*", F.sha2(F.col("u.unit").cast("binary"), 256).alias("key"))
-    hits = with_cue.select("_id", "path", "_n", "whole", "key", F.char_length("unit").alias("length")).join(scored(with_cue.select("key", "unit"), templates), "key")
+    # Written before it is joined: the plan can then split the rows of a line that very many documents have.
+    scores = stored(scored(with_cue.select("key", "unit"), templates), "license_scores", True)
+    hits = with_cue.select("_id", "path", "_n", "whole", "key", F.char_length("unit").alias("length")).join(scores, "key")
     order = F.struct(-F.col("score"), F.col("license"))
     best = hits.groupBy("_id").agg(F.max("score").alias("own_score"), F.min_by("license", order).alias("own_license"))
     # Licence files: by directory, the one of the greatest score, then of the first path.
