@@ -59,14 +59,21 @@ def excerpt(c: Column, size: int = EXCERPT) -> Column:
 
 def content_words(flattened: Column) -> Column:
     """The distinct words of announced text: what stands in brackets is left out, as are words of one letter."""
-    plain = F.regexp_replace(F.lower(F.regexp_replace(flattened, r"\[[^\]]*\]", " ")), r"[^a-z0-9\s]", " ")
-    return F.array_distinct(F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) > 1))
+    plain = F.lower(F.regexp_replace(flattened, r"\[[^\]]*\]", " "))
+    return F.filter(F.array_distinct(F.split(plain, "[^a-z0-9]+")), lambda w: F.length(w) > 1)
 
 
 def coverage(accepted: Column, candidate: Column) -> Column:
-    """The share of accepted words that a candidate has; null if there are too few to judge."""
-    n = F.size(accepted)
-    return F.when(n >= MIN_COVERAGE_WORDS, F.size(F.array_intersect(accepted, candidate)) / n)
+    """The share of accepted words that a candidate has; null if there are too few to judge.
+
+    Both word lists are bound by a lambda, so that each is made once for a row.
+    """
+
+    def share(x: Column) -> Column:
+        n = F.size(x["a"])
+        return F.when(n >= MIN_COVERAGE_WORDS, F.size(F.array_intersect(x["a"], x["b"])) / n)
+
+    return F.get(F.transform(F.array(F.struct(accepted.alias("a"), candidate.alias("b"))), share), F.lit(0))
 
 
 def diff_preview(before: Column, after: Column, limit: int = DIFF_LINES) -> Column:
