@@ -1,11 +1,12 @@
 """Licence scan: sparse TF-IDF cosine of lines to templates, then inheritance from the nearest directory above.
 
-Where a text has a licence cue, its lines with one (headers) and the whole of it (licence files) are compared with
-licence templates.  Terms weigh their count times the inverse document frequency over the templates; the
-cosine is summed over shared terms only.  Each distinct line or text is scored once, however many documents hold
+Where a text has a licence cue, its lines and blocks of lines with one (headers) and the whole of it (licence files) are compared with
+licence templates: short names, standard headers, SPDX tags and whole licence texts.  Terms weigh their count times the inverse document frequency
+over the templates, so words that nearly all of them hold (``the``, ``of``) make no licence of a long text; the
+cosine is summed over shared terms only.  Comment signs are no terms.  Each distinct line or text is scored once, however many documents hold
 it.  The best match gives a document its own licence.
 
-A document that matches as a whole, or whose matching lines hold a good part of it, is the licence file of its directory.  A document without a licence of
+A document that matches as a whole, or whose matching lines or blocks hold a good part of it, is the licence file of its directory.  A document without a licence of
 its own inherits that of the licence file in the nearest directory above it: directories, not documents, are
 joined to their ancestors, and documents take the result of their directory by an equi-join.
 
@@ -20,6 +21,7 @@ import json
 import math
 import re
 from collections import Counter
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,12 +30,18 @@ from .common import stored
 
 #: The least cosine for a licence.
 MIN_COSINE = 0.6
-#: The least share of a licence file's characters that lie in licence lines.
+#: The least share of a licence file's characters that lie in licence lines, or in licence blocks.
 FILE_SHARE = 0.25
 
-CUE = r"(?i)licen[sc]e|licensed|copyright|spdx|creative commons|public domain"
+#: What a text, line or block must hold to be compared.
+CUE = (
+    r"(?i)licen[sc]e|copyright|spdx|creative commons|public domain|rights reserved|redistribution and use|permission is hereby"
+    r"|permission to use|without warranty|provided .as is"
+)
+#: Blocks lie between blank lines; a line with only a comment sign is not blank, so a commented header is one block.
+BLANK = r"\n[ \t\r]*\n"
 
-#: Names and the words of headers; after a slash, of licence files (their opening, as far as it tells licences apart).
+#: Names and the words of short headers; after a slash, of the standard headers, tags and whole texts.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-3-Clause": "Released under the BSD 3-Clause License. Redistribution and use in source and binary forms.",
@@ -47,18 +55,43 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Proprietary": "Copyright. All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
-    "Apache-2.0/file": "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
-    "BSD-3-Clause/file": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following"
-    " conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
-    "GPL-3.0/file": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Everyone is permitted to copy and distribute verbatim copies of this"
-    " license document, but changing it is not allowed.",
-    "ISC/file": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided"
-    " that the above copyright notice and this permission notice appear in all copies.",
-    "MIT/file": "MIT License Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated"
-    " documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,"
-    " publish, distribute, sublicense, and/or sell copies of the Software",
+    "Apache-2.0/header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain'
+    " a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License"
+    ' is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing'
+    " permissions and limitations under the License.",
+    "AGPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation,"
+    " either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"
+    " without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the"
+    " GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "GPL-2.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,"
+    " either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"
+    " without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the"
+    " GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "GPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation,"
+    " either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"
+    " without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the"
+    " GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "LGPL-2.1/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation,"
+    " either version 2.1 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"
+    " without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the"
+    " GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "LGPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation,"
+    " either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"
+    " without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the"
+    " GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "MPL-2.0/header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file,"
+    " You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
 
+#: SPDX identifiers that tags name, and the licence each stands for.
+SPDX = {n: n for n in ("0BSD", "Artistic-1.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
+    "ISC", "MIT", "MPL-1.1", "MPL-2.0", "NCSA", "OFL-1.1", "Unlicense", "Zlib", "Apache-2.0")} | {
+    f"{n}{end}": n for n in ("AGPL-3.0", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0") for end in ("", "-only", "-or-later")
+}
+TEMPLATES |= {f"{n}/spdx/{tag}": f"SPDX-License-Identifier: {tag}" for tag, n in SPDX.items()}
+#: Whole licence texts, one file each.
+TEMPLATES |= {f.name.removesuffix(".txt") + "/file": f.read_text("utf-8") for f in sorted(resources.files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name)}
+
 _WORD = "[a-z0-9]+"
 
 
@@ -66,19 +99,19 @@ def weights(templates: dict[str, str] = TEMPLATES) -> tuple[dict[str, float], fl
     """Inverse document frequencies, that of an unknown term, and each template's terms scaled to length 1."""
     counts = {n: Counter(re.findall(_WORD, t.lower())) for n, t in templates.items()}
     df = Counter(w for c in counts.values() for w in c)
-    idf = {w: math.log((1 + len(templates)) / (1 + n)) + 1 for w, n in df.items()}
+    idf = {w: math.log((2 + len(templates)) / (1 + n)) for w, n in df.items()}
     scaled = {}
     for name, c in counts.items():
         size = math.sqrt(sum((n * idf[w]) ** 2 for w, n in c.items()))
         scaled[name] = {w: n * idf[w] / size for w, n in c.items()}
-    return idf, math.log(1 + len(templates)) + 1, scaled
+    return idf, math.log(2 + len(templates)), scaled
 
 
 def term_table(spark: SparkSession, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """(term, idf, one column w<i> for each template); a few rows a template, from one constant of the plan."""
+    """(term, idf, one column w<i> for each template, null where it lacks the term), from one constant of the plan."""
     idf, _, scaled = weights(templates)
     names = sorted(templates)
-    rows = [{"term": t, "idf": i} | {f"w{k}": scaled[n].get(t, 0.0) for k, n in enumerate(names)} for t, i in sorted(idf.items())]
+    rows = [{"term": t, "idf": i} | {f"w{k}": scaled[n][t] for k, n in enumerate(names) if t in scaled[n]} for t, i in sorted(idf.items())]
     row = "term: string, idf: double, " + ", ".join(f"w{k}: double" for k in range(len(names)))
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{row}>>")))
 
@@ -115,18 +148,20 @@ def ancestors(folder: Column) -> Column:
 def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(id, path, own_license, own_score, license, inherited_from) of every row."""
     own = docs.select(F.col(id_col).alias("_id"), path.alias("path"), F.col(text_col).alias("_text"))
-    lines = F.transform(F.filter(F.split("_text", "\n"), lambda x: x.rlike(CUE)), lambda x: F.struct(x.alias("unit"), F.lit(False).alias("whole")))
-    units = F.concat(lines, F.array(F.struct(F.col("_text").alias("unit"), F.lit(True).alias("whole"))))
+    lines = F.transform(F.filter(F.split("_text", "\n"), lambda x: x.rlike(CUE)), lambda x: F.struct(x.alias("unit"), F.lit("line").alias("kind")))
+    blocks = F.filter(F.split("_text", BLANK), lambda x: F.contains(F.trim(x, F.lit("\n")), F.lit("\n")) & x.rlike(CUE))
+    blocks = F.transform(blocks, lambda x: F.struct(x.alias("unit"), F.lit("block").alias("kind")))
+    units = F.concat(lines, blocks, F.array(F.struct(F.col("_text").alias("unit"), F.lit("whole").alias("kind"))))
     with_cue = own.where(F.col("_text").rlike(CUE)).select("_id", "path", F.char_length("_text").alias("_n"), F.explode(units).alias("u"))
     with_cue = with_cue.select("_id", "path", "_n", "u.*", F.sha2(F.col("u.unit").cast("binary"), 256).alias("key"))
     # Written before it is joined: the plan can then split the rows of a line that very many documents have.
     scores = stored(scored(with_cue.select("key", "unit"), templates), "license_scores", True)
-    hits = with_cue.select("_id", "path", "_n", "whole", "key", F.char_length("unit").alias("length")).join(scores, "key")
+    hits = with_cue.select("_id", "path", "_n", "kind", "key", F.char_length("unit").alias("length")).join(scores, "key")
     order = F.struct(-F.col("score"), F.col("license"))
     best = hits.groupBy("_id").agg(F.max("score").alias("own_score"), F.min_by("license", order).alias("own_license"))
     # Licence files: by directory, the one of the greatest score, then of the first path.
     files = hits.groupBy("_id", "path", "_n").agg(
-        F.sum(F.when(F.col("whole"), F.col("_n")).otherwise(F.col("length"))).alias("held"), F.max("score").alias("score"), F.min_by("license", order).alias("license")
+        F.greatest(*(F.sum(F.when(F.col("kind") == k, F.col("length"))) for k in ("line", "block", "whole"))).alias("held"), F.max("score").alias("score"), F.min_by("license", order).alias("license")
     )
     files = files.where(F.col("held") >= FILE_SHARE * F.col("_n")).withColumn("folder", directory(F.col("path"))).where("folder IS NOT NULL")
     files = files.groupBy("folder").agg(F.min_by(F.struct("license", "path"), F.struct(-F.col("score"), F.col("path"))).alias("f"))

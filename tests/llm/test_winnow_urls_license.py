@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 
@@ -173,3 +174,56 @@ def test_licence_files(docs):
     df = docs([(1, body + "\nCopyright (c) Someone"), (2, "plain")])
     path = F.concat(F.lit("src/lib/"), F.col("doc_id").cast("string"))
     assert [(r.own_license, r.license, r.inherited_from) for r in license.scan_licenses(df, path).orderBy("doc_id").collect()] == [("MIT", "MIT", None), (None, "MIT", "src/lib/1")]
+
+
+HEADERS = {
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "BSD-2-Clause": "SPDX-License-Identifier: BSD-2-Clause",
+    "LGPL-2.1": "SPDX-License-Identifier: LGPL-2.1-or-later",
+}
+
+
+def test_real_headers(docs):
+    code = "\n\n" + "\n".join(f"x{i} = compute(y{i}, z{i})" for i in range(200))
+    signs = [lambda t: re.sub("(?m)^", "# ", t), lambda t: "/*\n" + re.sub("(?m)^", " * ", t) + "\n */", lambda t: "/*\n" + t + "\n*/", lambda t: re.sub("(?m)^", "// ", t)]
+    want = {}
+    for n, text in HEADERS.items():
+        want |= {len(want) + k: (n, sign("Copyright (C) 2020 Some Body\n\n" + text) + code) for k, sign in enumerate(signs)}
+    found = license.scan_licenses(docs([(i, t) for i, (_, t) in want.items()]), F.concat(F.lit("a/"), F.col("doc_id"))).collect()
+    assert {r.doc_id: r.own_license for r in found} == {i: n for i, (n, _) in want.items()}
+    assert all(r.inherited_from is None for r in found)
+
+
+COMMON = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence files")
+def test_real_licence_files(docs):
+    texts = []
+    for f in COMMON:
+        with open(f"/usr/share/common-licenses/{f}") as file:
+            texts.append("Copyright 2021 The Some Project Authors\n\n" + file.read())
+    folder = F.concat(F.lit("d"), (F.col("doc_id") % 100).cast("string"), F.lit("/"), F.col("doc_id").cast("string"))
+    prose = " ".join(f"The garden{i} of the old house is open to all, and a path{i} leads to the river{i}." for i in range(300))
+    df = docs([*enumerate(texts), *((100 + i, "plain") for i in range(len(texts))), (99, prose + " copyright")])
+    found = {r.doc_id: r for r in license.scan_licenses(df, folder).collect()}
+    for i, want in enumerate(COMMON.values()):
+        assert (found[i].own_license, found[100 + i].license, found[100 + i].inherited_from) == (want, want, f"d{i}/{i}")
+    assert found[99].license is None
