@@ -1,9 +1,12 @@
 """Document fingerprints by winnowing, as DataFrame expressions.
 
-A text's pieces are its runs of characters that are not white space, cut after every ``PIECE`` characters.  The hashes of all
+A text's pieces are its runs of characters that are not white space.  Runs of more than ``PIECE`` characters (Chinese, Japanese, long
+URLs, base64) are cut where their content says so: after a character whose hash with the next, different one leaves no
+remainder by ``CUT``; what is still longer is cut after every ``PIECE`` characters from there.  The hashes of all
 grams of ``GRAM`` pieces are taken; of each window of ``WINDOW`` neighbouring hashes the least is chosen, on
 ties the rightmost; chosen hashes keep their position.  So two texts that share a passage of
-``GRAM + WINDOW - 1`` pieces share a fingerprint of it, wherever it stands.
+``GRAM + WINDOW - 1`` pieces share a fingerprint of it, wherever it stands.  Inside long runs pieces agree from the first content cut
+of the passage on; a passage without one (a short period, few different characters) is found only if its offsets agree modulo ``PIECE``.
 
 A hash and its position travel as one integer, ``hash * 2**31 - position``, whose least value is the least hash
 and, on ties, the rightmost.  Least values of all windows are found by doubling: those of width 2 from
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from .bloom import bloom_filter, may_hold
 
 PIECE = 12
+#: One in so many neighbouring pairs of characters in a long run is a cut.
+CUT = 6
 GRAM = 3
 #: A power of two.
 WINDOW = 4
@@ -35,13 +40,22 @@ def _let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def pieces_sql(text: str) -> str:
+    """SQL for the pieces of a text column."""
+    cut = f"x <> y AND pmod(xxhash64(x, y), {CUT}) = 0"
+    marked = _let("c", "split(r, '')", f"array_join(zip_with(c, slice(c, 2, size(c)), (x, y) -> CASE WHEN {cut} THEN concat(x, ' ') ELSE x END), '')")
+    long = f"regexp_extract_all({marked}, '\\\\S{{1,{PIECE}}}', 0)"
+    runs = f"flatten(transform(regexp_extract_all({text}, '\\\\S+', 0), r -> CASE WHEN char_length(r) > {PIECE} THEN {long} ELSE array(r) END))"
+    return f"CASE WHEN {text} RLIKE '\\\\S{{{PIECE + 1}}}' THEN {runs} ELSE regexp_extract_all({text}, '\\\\S+', 0) END"
+
+
 def chosen_sql(text: str, gram: int = GRAM, window: int = WINDOW) -> str:
     """SQL for the chosen hashes of a text column, as ``hash * 2**31 - position``, in order of position."""
     if window < 1 or window & (window - 1):
         raise ValueError("the window must be a power of two")
     least = _let(
         "p",
-        f"regexp_extract_all({text}, '\\\\S{{1,{PIECE}}}', 0)",
+        pieces_sql(text),
         f"CASE WHEN size(p) > 0 THEN transform(sequence(1, greatest(size(p) - {gram - 1}, 1)),"
         f" i -> shiftright(xxhash64(slice(p, i, {gram})), 32) * 2147483648L - i) ELSE cast(array() AS array<bigint>) END",
     )

@@ -81,6 +81,21 @@ def test_match_guarantee(docs):
     assert [(x.hash, -x.position) for x in found.fingerprint] == chosen(" ".join(shared))
 
 
+def test_unspaced_text_is_found_at_any_offset(docs):
+    rnd = random.Random(6)
+    chinese = "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(3000))
+    base64 = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(3000))
+    for text in (chinese, base64):
+        rows = [(0, text)] + [(k, "".join(rnd.choice(text) for _ in range(k)) + text) for k in range(1, 13)]
+        found = {r.doc_id: {x.hash for x in r.fingerprint} for r in winnow.fingerprints(docs(rows)).collect()}
+        for k in range(1, 13):
+            assert len(found[0] & found[k]) > 0.9 * len(found[0])
+    passage = chinese[:200]  # a short shared passage inside other text
+    other = ["".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(n)) for n in (500, 507)]
+    a, b = (set(x.hash for x in r.fingerprint) for r in winnow.fingerprints(docs([(i, o + passage + o[::-1]) for i, o in enumerate(other)])).collect())
+    assert a & b
+
+
 def test_window_must_be_a_power_of_two():
     with pytest.raises(ValueError):
         winnow.chosen_sql("t", 3, 6)
