@@ -124,26 +124,44 @@ def fit_profiles(
 
     Counting is distributed; the driver gets one count and ``size`` integers a language.
     """
+    fit = _fit_rows(docs, id_col, text_col, lang_col, rows)
+    if fit is None:
+        return Profiles({})
+    grams = fit.mapInPandas(_partial_counts, "lang string, k long, n long")
+    sums = grams.groupBy("lang", "k").agg(F.sum("n").alias("n"))
+    best = Window.partitionBy("lang").orderBy(F.desc("n"), "k")
+    top = sums.withColumn("r", F.row_number().over(best)).where(F.col("r") <= size).select("lang", "k", "r")
+    found: dict[str, list[tuple[int, int]]] = {}
+    for r in top.collect():
+        found.setdefault(r["lang"], []).append((r["r"], r["k"]))
+    return Profiles({name: [k for _, k in sorted(ks)] for name, ks in found.items()})
+
+
+def _fit_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame | None:
+    """(lang, text) of about ``rows`` labelled documents of each language; none where nothing is labelled."""
     langs = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     h = F.xxhash64(F.col(id_col).cast("string"))
     labels = langs.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     counts = {r["lang"]: r["n"] for r in labels.collect()}
     if not counts:
-        return Profiles({})
+        return None
     near = F.lit(False)
     for name, n in counts.items():
         share = min(1.0, rows / n)
         limit = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
         near = near | ((F.col(lang_col) == name) & (h <= F.lit(limit).cast("long")))
-    fit = langs.where(near).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    grams = fit.mapInPandas(_partial_counts, "lang string, k long, n long")
-    sums = grams.groupBy("lang", "k").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "k")
-    top = sums.withColumn("r", F.row_number().over(best)).where(F.col("r") <= size).select("lang", "k", "r")
-    found: dict[str, list[tuple[int, int]]] = {}
-    for r in top.collect():
-        found.setdefault(r["lang"], []).append((r["r"], r["k"]))
-    return Profiles({name: [k for _, k in sorted(ks)] for name, ks in found.items()})
+    return langs.where(near).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+
+
+def low_scores(
+    docs: DataFrame, profiles: Profiles, quantile: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS
+) -> dict[str, float]:
+    """For each language, a quantile of the scores of its labelled documents (about ``rows``) that are recognized as it."""
+    fit = _fit_rows(docs, id_col, text_col, lang_col, rows)
+    if fit is None:
+        return {}
+    judged = fit.select("lang", predictor(profiles)(F.col("text")).alias("p")).where(F.col("p.lang_pred") == F.col("lang"))
+    return {r["lang"]: r["q"] for r in judged.groupBy("lang").agg(F.percentile("p.score", quantile).alias("q")).collect()}
 
 
 def predictor(profiles: Profiles):

@@ -186,3 +186,19 @@ def test_pipeline(spark, tmp_path):
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_rejects_gibberish_and_unlisted_languages(spark):
+    rnd = random.Random(3)
+    labelled = corpus_pipeline.documents(spark, "/root/testdata/sf0.01").where("length(text) >= 300 AND lang IS NOT NULL")
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    strange = {
+        -1: " ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 10))) for _ in range(200)),
+        -2: " ".join("".join(rnd.choice("0123456789abcdef") for _ in range(8)) for _ in range(200)),
+        -3: "zzzz qqqq xxxx " * 70,
+        -4: "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. " * 6,
+        -5: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 6,
+    }
+    other = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in strange.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r.doc_id for r in corpus_pipeline.language_id(spark, labelled.select(*other.columns).unionByName(other), "").collect()}
+    assert found == {r.doc_id for r in labelled.select("doc_id").collect()}
