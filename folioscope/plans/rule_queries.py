@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import limits, text, urls
@@ -36,6 +36,17 @@ def _(t: Tables) -> DataFrame:
     return t["documents"].where("lang = 'en'").select("doc_id", text.lesson_slug(F.substring("text", 1, 200)).alias("slug"))
 
 
+# Over whole texts of all documents, which the SQL of the two above does not read; tests hold them against brute force.
+@query("q_norm_key_whole")
+def _(t: Tables) -> DataFrame:
+    return t["documents"].select("doc_id", text.norm_key(F.col("text")).alias("norm_key"))
+
+
+@query("q_lesson_slug_whole")
+def _(t: Tables) -> DataFrame:
+    return t["documents"].select("doc_id", text.lesson_slug(F.col("text")).alias("slug"))
+
+
 @query(
     "q_snippet",
     r"SELECT doc_id, CASE WHEN length(s) > 280 THEN substring(s, 1, 280) || '…' ELSE s END AS snippet FROM (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM documents)",
@@ -144,9 +155,17 @@ i AS (SELECT session, agent, min_by(image, seq) AS image FROM f GROUP BY session
 SELECT session, agent, image, string_agg(html, chr(10) || chr(10) ORDER BY seq) AS accepted_html FROM f JOIN i USING (session, agent, image) GROUP BY session, agent, image""",
 )
 def _(t: Tables) -> DataFrame:
+    return gates.capture_fixtures(_fragments(t, F.substring("text", 1, 20)))
+
+
+@query("q_capture_fixtures_whole")
+def _(t: Tables) -> DataFrame:
+    return gates.capture_fixtures(_fragments(t, F.col("text")))
+
+
+def _fragments(t: Tables, html: Column) -> DataFrame:
     d = t["documents"].where("text IS NOT NULL AND lang IS NOT NULL")
-    f = d.select(F.floor(F.col("doc_id") / 5).alias("session"), F.col("doc_id").alias("seq"), F.col("lang").alias("agent"), (F.col("doc_id") % 2).cast("string").alias("image"), F.substring("text", 1, 20).alias("html"))
-    return gates.capture_fixtures(f)
+    return d.select(F.floor(F.col("doc_id") / 5).alias("session"), F.col("doc_id").alias("seq"), F.col("lang").alias("agent"), (F.col("doc_id") % 2).cast("string").alias("image"), html.alias("html"))
 
 
 # --- scalars -----------------------------------------------------------------------------------------------------

@@ -5,11 +5,13 @@ from __future__ import annotations
 import glob
 import math
 import os
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__
+from folioscope.functions.text import SLUG_FILLER
 from folioscope.queries import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -57,3 +59,24 @@ def test_entry(spark):
 
 def test_every_oracle_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_whole_texts(spark, tmp_path):
+    rows = [(0, "*" * 300 + " Keep the Alt Text of every figure", "fr"), (1, "word " * 100 + "End!", "en"), (2, "x" * 80 + " y", "de"), (3, None, "en"), (4, "b" * 50, "en"), (6, "c" * 70, None), (7, "Ask for the", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: QUERIES[f"q_{n}_whole"](spark, str(tmp_path)).collect() for n in ("norm_key", "lesson_slug", "capture_fixtures")}
+    keys = {i: t if t is None else " ".join(re.sub(r"[^a-z0-9\s]", " ", t.lower()).split()) for i, t, _ in rows}
+    assert {r.doc_id: r.norm_key for r in got["norm_key"]} == keys
+
+    def slug(key):
+        words = key.split(" ")[:8]
+        while len(words) > 1 and len(" ".join(words)) > 60:
+            words.pop()
+        while len(words) > 1 and words[-1] in SLUG_FILLER:
+            words.pop()
+        return " ".join(words)
+
+    assert {r.doc_id: r.slug for r in got["lesson_slug"] if r.doc_id != 3} == {i: slug(k) for i, k in keys.items() if k is not None}
+    fixtures = {(r.session, r.agent, r.image): r.accepted_html for r in got["capture_fixtures"]}
+    text = {i: t for i, t, _ in rows}
+    assert fixtures == {(0, "fr", "0"): text[0], (0, "en", "1"): text[1], (0, "de", "0"): text[2], (1, "en", "1"): text[7]}
