@@ -1,21 +1,23 @@
-"""Document fingerprints by winnowing, as DataFrame expressions.
-
-A text's pieces are its runs of characters that are not white space.  Runs of more than ``PIECE`` characters (Chinese, Japanese, long
-URLs, base64) are cut where their content says so: after a character whose hash with the next, different one leaves no
-remainder by ``CUT``; what is still longer is cut after every ``PIECE`` characters from there.  The hashes of all
-grams of ``GRAM`` pieces are taken; of each window of ``WINDOW`` neighbouring hashes the least is chosen, on
-ties the rightmost; chosen hashes keep their position.  So two texts that share a passage of
-``GRAM + WINDOW - 1`` pieces share a fingerprint of it, wherever it stands.  Inside long runs pieces agree from the first content cut
-of the passage on; a passage without one (a short period, few different characters) is found only if its offsets agree modulo ``PIECE``.
-
-A hash and its position travel as one integer, ``hash * 2**31 - position``, whose least value is the least hash
-and, on ties, the rightmost.  Least values of all windows are found by doubling: those of width 2 from
-neighbours, of width 4 from these, and so on, so the work is linear in the text.  Everything is a
-built-in function; nothing is exploded into rows and no text leaves the JVM.
-
-A text of fewer pieces than a gram is one gram; one of fewer grams than a window is one window.  Texts without a
-piece and null texts have no hashes.  Two documents without hashes are alike (1.0), one without is unlike any
-other (0.0).  Columns other than the named ones are ignored.
+"""Document fingerprints by winnowing over code points, as DataFrame expressions.
+
+Every run of ``GRAM`` code points has a polynomial hash, the value that a Karp-Rabin hash rolls along the text.  Of each
+window of ``WINDOW`` neighbouring hashes the least is chosen, on ties the rightmost; chosen hashes keep their position (in
+code points, from 1).  So two texts that share a run of ``GRAM + WINDOW - 1`` code points share a chosen hash of it,
+wherever the run stands and whatever its script.
+
+Built-in functions keep no state between the elements of an array, and functions of array elements are interpreted.  So a text is
+exploded into blocks of ``BLOCK`` windows with what those read beyond them, and a block is one row with a column for each
+place: hashes of 4 code points come from 4 columns, those of 16 from 4 of these, and least values of windows likewise.
+Every step is compiled and costs the same for any length of gram.  A hash and its position travel as one integer,
+``hash * 2**31 - position``, whose least value is the least hash and, on ties, the rightmost.
+
+The edited text of a document is the beginning of its own text and that of the next one.  Windows that lie within one
+of the two have been seen there; only those across the seam are hashed, so no text is fingerprinted twice.
+
+A text shorter than a gram is one gram; one of fewer grams than a window is one window.  Empty and null texts have no
+hashes.  Two documents without hashes are alike (1.0), one without is unlike any other (0.0).  Rows that share an id
+follow one another by their texts; rows without an id have nothing next.  Columns other than the named ones are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,51 +27,90 @@ from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, may_hold
 
-PIECE = 12
-#: One in so many neighbouring pairs of characters in a long run is a cut.
-CUT = 6
-GRAM = 3
-#: A power of two.
-WINDOW = 4
+#: Powers of four, so that steps of four reach them.
+GRAM = 16
+WINDOW = 16
+#: Windows of a block.  More than 100 columns (``spark.sql.codegen.maxFields``) keep Spark from fusing the steps into one method, which would be too large to compile.
+BLOCK = 128
+#: A prime below 2**30, so that sums of four products stay below 2**63, and the base of the polynomial.
+MODULUS, BASE = 1_073_741_789, 771_243_123
 #: Neighbouring ids that are put in order within one task.
-NEIGHBOURS = 256
+NEIGHBOURS = 64
 
+_NEVER = 2**63 - 1
 
-def _let(name: str, value: str, body: str) -> str:
-    """SQL that evaluates ``value`` once and ``body`` with it."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
+def beyond(gram: int = GRAM, window: int = WINDOW) -> int:
+    """Code points that windows reach beyond the first one of the last window."""
+    return gram + window - 2
 
-def pieces_sql(text: str) -> str:
-    """SQL for the pieces of a text column."""
-    cut = f"x <> y AND pmod(xxhash64(x, y), {CUT}) = 0"
-    marked = _let("c", "split(r, '')", f"array_join(zip_with(c, slice(c, 2, size(c)), (x, y) -> CASE WHEN {cut} THEN concat(x, ' ') ELSE x END), '')")
-    long = f"regexp_extract_all({marked}, '\\\\S{{1,{PIECE}}}', 0)"
-    runs = f"flatten(transform(regexp_extract_all({text}, '\\\\S+', 0), r -> CASE WHEN char_length(r) > {PIECE} THEN {long} ELSE array(r) END))"
-    return f"CASE WHEN {text} RLIKE '\\\\S{{{PIECE + 1}}}' THEN {runs} ELSE regexp_extract_all({text}, '\\\\S+', 0) END"
 
+def _by_fours(n: int) -> list[int]:
+    """The widths 1, 4, 16... below ``n``, a power of four."""
+    widths = []
+    while n > 1:
+        if n % 4:
+            raise ValueError("grams and windows must be powers of four")
+        n //= 4
+        widths.append(4 ** len(widths))
+    return widths
 
-def chosen_sql(text: str, gram: int = GRAM, window: int = WINDOW) -> str:
-    """SQL for the chosen hashes of a text column, as ``hash * 2**31 - position``, in order of position."""
-    if window < 1 or window & (window - 1):
-        raise ValueError("the window must be a power of two")
-    least = _let(
-        "p",
-        pieces_sql(text),
-        f"CASE WHEN size(p) > 0 THEN transform(sequence(1, greatest(size(p) - {gram - 1}, 1)),"
-        f" i -> shiftright(xxhash64(slice(p, i, {gram})), 32) * 2147483648L - i) ELSE cast(array() AS array<bigint>) END",
-    )
-    width, passes = 1, 0
-    while width < window:
-        v = f"v{passes}"
-        least = _let(v, least, f"zip_with({v}, slice({v}, {width + 1}, size({v})), (x, y) -> least(x, y))")
-        width, passes = 2 * width, passes + 1
-    least = _let("m", least, f"array_distinct(slice(m, 1, greatest(size(m) - {window - 1}, 1)))")
-    return f"CASE WHEN {text} IS NULL THEN cast(array() AS array<bigint>) ELSE {least} END"
+
+def grams_of(n: str, gram: int = GRAM) -> str:
+    """SQL for the number of grams of a text of ``n`` code points."""
+    return f"greatest({n} - {gram - 1}, least({n}, 1))"
+
+
+def windows_of(n: str, gram: int = GRAM, window: int = WINDOW) -> str:
+    """SQL for the number of windows of a text of ``n`` code points."""
+    return f"greatest({n} - {beyond(gram, window)}, least({n}, 1))"
 
 
-def chosen(text: str, gram: int = GRAM, window: int = WINDOW) -> Column:
-    return F.expr(chosen_sql(text, gram, window))
+def chosen_in_block(rows: DataFrame, out: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """``rows`` with the chosen hashes of one block as column ``out``, in order of position.
+
+    Takes the columns ``_block`` (its code points in UTF-32), ``_at`` (code points before it), ``_grams`` and ``_windows`` (how many the
+    text has).
+    """
+    kept = [f"`{c}`" for c in rows.columns if c != "_block"]
+    count = BLOCK + beyond(gram, window)
+    power = lambda n: f"{pow(BASE, n, MODULUS)}L"
+    rows = rows.selectExpr(*kept, *(f"xxhash64(substring(_block, {4 * i + 1}, 4)) & {2**30 - 1}L AS _h{i}" for i in range(count)))
+    for w in _by_fours(gram):
+        count -= 3 * w
+        rolled = [f"(_h{i} * {power(3 * w)} + _h{i + w} * {power(2 * w)} + _h{i + 2 * w} * {power(w)} + _h{i + 3 * w}) % {MODULUS}L" for i in range(count)]
+        if 4 * w == gram:
+            rolled = [f"if(_at + {i} < _grams, {h} * 2147483648L - (_at + {i + 1}), {_NEVER}L)" for i, h in enumerate(rolled)]
+        rows = rows.selectExpr(*kept, *(f"{h} AS _h{i}" for i, h in enumerate(rolled)))
+    for w in _by_fours(window):
+        count -= 3 * w
+        least = [f"least(_h{i}, _h{i + w}, _h{i + 2 * w}, _h{i + 3 * w})" for i in range(count)]
+        if 4 * w < window:
+            rows = rows.selectExpr(*kept, *(f"{h} AS _h{i}" for i, h in enumerate(least)))
+    own = [c for c in kept if c not in ("`_at`", "`_grams`", "`_windows`")]
+    return rows.selectExpr(*own, "_at", f"array_distinct(slice(array({', '.join(least)}), 1, cast(greatest(0, least({BLOCK}, _windows - _at)) AS int))) AS {out}")
+
+
+def with_chosen(rows: DataFrame, text: str, out: str, keys: tuple[str, ...] = (), gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """``rows`` with the chosen hashes of a text column, in order of position.
+
+    Blocks of a row are put together again by ``keys`` and a number of the row.  Where ``rows`` are dealt out by ``keys``, they stay
+    where they are.
+    """
+    carried = [c for c in rows.columns if c not in keys]
+    own = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_code", F.encode(text, "UTF-32"))
+    own = own.withColumn("_n", F.expr("octet_length(_code) div 4"))
+    reach = 4 * (BLOCK + beyond(gram, window))
+    first = ", ".join(f"'{c}', if(p = 0, `{c}`, null)" for c in carried)
+    blocks = f"transform(sequence(0, greatest(0, cast(({windows_of('_n', gram, window)} - 1) div {BLOCK} AS int))), p -> named_struct('p', p, '_block', substring(_code, p * {4 * BLOCK} + 1, {reach}), {first}))"
+    exploded = own.selectExpr(*keys, "_row", "_n", f"explode({blocks}) AS b")
+    exploded = exploded.selectExpr(
+        *keys, "_row", *(f"b.`{c}`" for c in carried), "b._block", f"b.p * {BLOCK} AS _at", f"{grams_of('_n', gram)} AS _grams", f"{windows_of('_n', gram, window)} AS _windows"
+    )
+    found = chosen_in_block(exploded, out, gram, window)
+    parts = F.sort_array(F.collect_list(F.struct("_at", out)))
+    grouped = found.groupBy(*keys, "_row").agg(*(F.max(c).alias(c) for c in carried), parts.alias(out))
+    return grouped.select(*rows.columns, F.array_distinct(F.flatten(F.col(f"{out}.{out}"))).alias(out))
 
 
 def hashes(chosen_col: str) -> Column:
@@ -77,6 +118,11 @@ def hashes(chosen_col: str) -> Column:
     return F.array_distinct(F.transform(chosen_col, lambda v: (F.shiftright(v, 31) + 1).cast("int")))
 
 
+def positions(chosen_col: str) -> Column:
+    """The positions of chosen hashes, ascending."""
+    return F.transform(chosen_col, lambda v: F.pmod(-v, F.lit(1 << 31)).cast("int"))
+
+
 def digest(chosen_col: str) -> Column:
     """One string for all chosen hashes and their positions."""
     return F.sha2(F.array_join(F.transform(chosen_col, lambda v: v.cast("string")), ",").cast("binary"), 256)
@@ -89,10 +135,11 @@ def likeness(a: str, b: str) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(id, fingerprint array<struct<hash, position>>) of every row; positions are pieces, from 1."""
-    own = docs.select(F.col(id_col), F.col(text_col).alias("_text")).withColumn("_v", chosen("_text", gram, window))
+    """(id, fingerprint array<struct<hash, position>>) of every row; positions are code points, from 1."""
+    own = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    found = with_chosen(own.withColumnRenamed(id_col, "_id"), "_text", "_v", (), gram, window)
     pair = F.transform("_v", lambda v: F.struct((F.shiftright(v, 31) + 1).cast("int").alias("hash"), F.pmod(-v, F.lit(1 << 31)).cast("int").alias("position")))
-    return own.select(id_col, pair.alias("fingerprint"))
+    return found.select(F.col("_id").alias(id_col), pair.alias("fingerprint"))
 
 
 def _range(id_col: str) -> Column:
@@ -114,48 +161,64 @@ def _firsts(ids: DataFrame, id_col: str) -> DataFrame:
     return near.select("first", F.coalesce("near", "before").alias("goes_to"))
 
 
-def with_next(rows: DataFrame, id_col: str, carried: dict[str, str]) -> DataFrame:
-    """Each row with columns of the row after it in ascending id (new name to column); after the last, of the first.
+def dealt_by_range(rows: DataFrame) -> DataFrame:
+    """(_id, _text) dealt out by ranges of ids, with ``_range``, ``_keyless`` (no id) and ``_guest``.
 
-    Rows are dealt out once, by ranges of ``NEIGHBOURS`` ids, and ordered range by range.  The first row of a range goes
-    to the range before it as well.  Where a range's first possible id is missing, a Bloom filter finds
-    the few rows that may be first; a join with the first ids decides.  Ties of an id are ordered by the carried
-    columns.  Rows without an id come with nothing next.
+    Rows are dealt out once, by ranges of ``NEIGHBOURS`` ids.  The first row of a range goes to the range before it as well, as
+    a guest.  Where a range's first possible id is missing, a Bloom filter finds the few rows that may be first; a join with the first ids
+    decides.  Rows without an id are spread by their texts.  Ids that are far apart make ranges of a row each, so that each row is dealt out
+    twice; rows that share one id meet in one range.
     """
-    known = rows.where(F.col(id_col).isNotNull())
-    firsts = _firsts(known.select(id_col), id_col)
+    known = rows.where(F.col("_id").isNotNull())
+    firsts = _firsts(known.select("_id"), "_id")
     odd = bloom_filter(firsts.where(F.col("first") % NEIGHBOURS != 0), "first").scalar()
-    likely = known.where((F.col(id_col) % NEIGHBOURS == 0) | may_hold(odd, F.col(id_col)))
-    guests = likely.join(firsts, F.col(id_col) == F.col("first")).drop("first").withColumnRenamed("goes_to", "_range").withColumn("_guest", F.lit(True))
-    hosts = known.withColumn("_range", _range(id_col)).withColumn("_guest", F.lit(False))
-    order = Window.partitionBy("_range").orderBy("_guest", id_col, *carried.values())
-    ordered = hosts.unionByName(guests).select("*", *(F.lead(c).over(order).alias(n) for n, c in carried.items()))
-    kind = {f.name: f.dataType for f in rows.schema.fields}
-    unknown = rows.where(F.col(id_col).isNull()).select("*", *(F.lit(None).cast(kind[c]).alias(n) for n, c in carried.items()))
-    return ordered.where(~F.col("_guest")).drop("_range", "_guest").unionByName(unknown)
+    likely = known.where((F.col("_id") % NEIGHBOURS == 0) | may_hold(odd, F.col("_id")))
+    guests = likely.join(firsts, F.col("_id") == F.col("first")).select("_id", "_text", F.col("goes_to").alias("_range"), F.lit(False).alias("_keyless"), F.lit(True).alias("_guest"))
+    hosts = rows.select("_id", "_text", F.coalesce(_range("_id"), F.xxhash64("_text")).alias("_range"), F.col("_id").isNull().alias("_keyless"), F.lit(False).alias("_guest"))
+    return hosts.unionByName(guests).repartition("_range")
+
+
+def _within(chosen: str, n: str) -> str:
+    """SQL for those of a text's chosen hashes that some window within its first ``n`` code points chooses.
+
+    A hash is first chosen by the window that it enters, where it is the least there, else by the one that its predecessor has left.
+    """
+    place = lambda v: f"pmod(-{v}, 2147483648L)"
+    first = f"CASE WHEN i = 0 THEN 1 WHEN v < get({chosen}, i - 1) THEN {place('v')} - {WINDOW - 1} ELSE {place(f'get({chosen}, i - 1)')} + 1 END"
+    return f"filter({chosen}, (v, i) -> {first} <= {n} - {beyond()})"
 
 
 def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text, and how alike they and the next document's are.
 
     The edited text has its last ``floor(n_chars / 2)`` code points replaced by as many of the beginning of the
-    next document.  Texts are dealt out once, each with its hashes, so none is fingerprinted twice.
+    next document.  ``positions`` are those of ``fingerprint``.
     """
-    own = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    own = own.withColumn("_v", chosen("_text"))
-    own = own.select("_id", "_text", digest("_v").alias("fingerprint"), hashes("_v").alias("_h"))
-    pairs = with_next(own, "_id", {"_next": "_text", "_nh": "_h"})
-    n = F.char_length("_text")
-    half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - half), F.substring(F.coalesce("_next", F.lit("")), F.lit(1), half))
-    pairs = pairs.withColumn("_edited", edited).withColumn("_ev", chosen("_edited")).withColumn("_eh", hashes("_ev"))
-    pairs = pairs.withColumn("_nh", F.coalesce("_nh", F.array().cast("array<int>")))
-    return pairs.select(
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    own = with_chosen(dealt_by_range(rows), "_text", "_v", ("_range",))
+    order = Window.partitionBy("_range", "_keyless").orderBy("_guest", "_id", "_text")
+    after = lambda c: F.when(~F.col("_keyless"), F.lead(c).over(order))
+    pairs = own.select("_id", "_text", "_v", "_guest", F.coalesce(after("_text"), F.lit("")).alias("_next"), F.coalesce(after("_v"), F.array().cast("array<bigint>")).alias("_nv"))
+    pairs = pairs.where(~F.col("_guest")).drop("_guest")
+    pairs = pairs.withColumn("_n", F.char_length("_text")).withColumn("_taken", F.expr("least(_n div 2, char_length(_next))"))
+    pairs = pairs.withColumn("_left", F.expr("cast(_n - _n div 2 AS int)"))
+    pairs = pairs.withColumn("_edited", F.expr("concat(substring(_text, 1, _left), substring(_next, 1, cast(_taken AS int)))"))
+    reach = beyond()
+    seam = pairs.withColumn("_from", F.expr(f"greatest(0, _left - {reach})"))
+    seam = seam.withColumn("_size", F.expr(f"cast(_left - _from + least(_taken, {reach}) AS int)"))
+    seam = seam.withColumn("_block", F.encode(F.expr("substring(_edited, _from + 1, _size)"), "UTF-32")).withColumn("_at", F.lit(0))
+    # A seam without a whole window counts only where it is the whole edited text.
+    seam = seam.withColumn("_grams", F.expr(grams_of("_size"))).withColumn("_windows", F.expr(f"if(_size <= {reach} AND _size < _left + _taken, 0, {windows_of('_size')})"))
+    both = chosen_in_block(seam, "_sv")
+    edited = f"array_distinct(concat({_within('_v', '_left')}, transform(_sv, v -> v - _from), transform({_within('_nv', '_taken')}, v -> v - _left)))"
+    both = both.withColumn("_ev", F.expr(edited)).withColumns({"_h": hashes("_v"), "_nh": hashes("_nv")}).withColumn("_eh", hashes("_ev"))
+    return both.select(
         F.col("_id").alias(id_col),
-        n.cast("long").alias("n_chars"),
+        F.col("_n").cast("long").alias("n_chars"),
         F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
-        "fingerprint",
+        digest("_v").alias("fingerprint"),
         digest("_ev").alias("edited_fingerprint"),
         likeness("_h", "_eh").alias("near_edited"),
         likeness("_h", "_nh").alias("near_next"),
+        positions("_v").alias("positions"),
     )
