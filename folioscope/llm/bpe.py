@@ -1,9 +1,9 @@
 """Byte-pair encoding and decoding by forced-boundary splitting.
 
 A merge can join two neighbouring bytes only into a vocabulary token that holds them side by side.  Where a
-byte pair occurs inside no token, every encoding has a boundary.  Texts are cut at such places into fragments
-of a few thousand bytes, which are encoded on their own; their ids are concatenated.  So time is linear and
-memory bounded, however long a text is.
+byte pair occurs inside no token, every encoding has a boundary.  Every text, short or long, is cut at all such places
+into fragments, which are encoded on their own; their ids are concatenated.  Fragments that a worker has met lately
+are not encoded again.
 
 A cut must also leave the tokenizer's first split into words as it is.  So none is made after white space
 (a run of it is split by what follows), before an apostrophe (which could begin a contraction) or inside a
@@ -29,10 +29,10 @@ from pyspark.sql import types as T
 
 from .common import sha256_hex, small_batches
 
-#: Fragments reach the first forced boundary after so many bytes.
-FRAGMENT_BYTES = 4096
-#: Longer ones (text without a boundary) are left to the tokenizer library, whose split has no step limit.
-LONG_FRAGMENT = 1 << 16
+#: The least bytes of a fragment: one, so that texts are cut at each forced boundary.
+FRAGMENT_BYTES = 1
+#: Bytes of fragments whose ids a worker keeps; it then begins anew.
+MEMO_BYTES = 8_000_000
 
 _SPACE_LEFT = [*range(9, 14), *range(28, 33)]
 #: How the byte-level tokenizer first splits a text (fixed value of the format).
@@ -85,6 +85,8 @@ class ForcedBoundaryCodec:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.special_ids = special
         self.fast = self._rank_encoder(spec["model"])
+        self.memo: dict[bytes, np.ndarray] = {}
+        self.memo_bytes = 0
 
     @cached_property
     def tokenizer(self):
@@ -126,9 +128,25 @@ class ForcedBoundaryCodec:
         return tiktoken.Encoding("fragments", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def _encode_fragment(self, raw: bytes) -> np.ndarray:
-        if self.fast is None or len(raw) > LONG_FRAGMENT:
-            return np.asarray(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u4")
-        return self.fast.encode_to_numpy(raw.decode(), disallowed_special=())
+        if self.fast is not None:
+            try:
+                return self.fast.encode_to_numpy(raw.decode(), disallowed_special=())
+            except (ValueError, RuntimeError):  # its pattern gave up on a run without any boundary
+                pass
+        return np.asarray(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u4")
+
+    def _fragment_ids(self, raw: bytes) -> np.ndarray:
+        found = self.memo.get(raw)
+        if found is None:
+            found = self._encode_fragment(raw)
+            size = 200 + len(raw) + found.nbytes
+            if size <= MEMO_BYTES:
+                if self.memo_bytes + size > MEMO_BYTES:
+                    self.memo.clear()
+                    self.memo_bytes = 0
+                self.memo[raw] = found
+                self.memo_bytes += size
+        return found
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of one whole text."""
@@ -137,7 +155,7 @@ class ForcedBoundaryCodec:
             if i % 2:
                 out.append(np.asarray([self.special_ids[piece]], "<u4"))
             elif piece:
-                out += map(self._encode_fragment, self.fragments(piece.encode()))
+                out += map(self._fragment_ids, self.fragments(piece.encode()))
         return np.concatenate(out).astype("<u4", copy=False)
 
     def encode_each(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:

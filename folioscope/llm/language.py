@@ -32,8 +32,6 @@ UNKNOWN = "und"
 PROFILE_SIZE = 300
 #: The expected number of labelled documents of each language that profiles are fitted on.
 FIT_ROWS = 1000
-#: The bound on languages that profiles are made for: those with the most labelled documents.
-MAX_LANGUAGES = 500
 _NGRAM_BITS = 21
 
 PREDICTION = T.StructType(
@@ -138,19 +136,16 @@ def fit_profiles(
 
 
 def _fit_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame | None:
-    """(lang, text) of about ``rows`` labelled documents of each language; none where nothing is labelled."""
+    """(lang, text) of about ``rows`` labelled documents of each language, however many languages; none where nothing is labelled."""
     langs = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    h = F.xxhash64(F.col(id_col).cast("string"))
-    labels = langs.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    counts = {r["lang"]: r["n"] for r in labels.collect()}
-    if not counts:
+    own = langs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = own.groupBy("lang").agg(F.count("*").alias("n"))
+    if counts.isEmpty():
         return None
-    near = F.lit(False)
-    for name, n in counts.items():
-        share = min(1.0, rows / n)
-        limit = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
-        near = near | ((F.col(lang_col) == name) & (h <= F.lit(limit).cast("long")))
-    return langs.where(near).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    # A hash lies within this share of its range, on either side of zero; one row a language joins.
+    share = F.lit(float(rows)) / F.col("n")
+    near = (F.col("n") <= rows) | (F.col("h").cast("double") / F.lit(2.0**64) + F.lit(0.5) < share)
+    return own.join(counts, "lang").where(near).select("lang", "text")
 
 
 def low_scores(

@@ -12,7 +12,7 @@ joined to their ancestors, and documents take the result of their directory by a
 
 Null and empty texts have no licence of their own.  A null path has no directory and inherits nothing.  Ties
 of a cosine go to the first licence by name, ties of licence files to the first path.  Rows that repeat an id share
-the best line of all of them.  Empty tables give empty results.  Only the named columns are read.
+the best line of all of them; rows without an id share that of their path, and a row without both has no licence of its own.  Empty tables give empty results.  Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -148,27 +148,29 @@ def ancestors(folder: Column) -> Column:
 def scan_licenses(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """(id, path, own_license, own_score, license, inherited_from) of every row."""
     own = docs.select(F.col(id_col).alias("_id"), path.alias("path"), F.col(text_col).alias("_text"))
+    own = own.withColumn("_key", F.coalesce(F.concat(F.lit("i"), F.col("_id").cast("string")), F.concat(F.lit("p"), "path")))
     lines = F.transform(F.filter(F.split("_text", "\n"), lambda x: x.rlike(CUE)), lambda x: F.struct(x.alias("unit"), F.lit("line").alias("kind")))
     blocks = F.filter(F.split("_text", BLANK), lambda x: F.contains(F.trim(x, F.lit("\n")), F.lit("\n")) & x.rlike(CUE))
     blocks = F.transform(blocks, lambda x: F.struct(x.alias("unit"), F.lit("block").alias("kind")))
     units = F.concat(lines, blocks, F.array(F.struct(F.col("_text").alias("unit"), F.lit("whole").alias("kind"))))
-    with_cue = own.where(F.col("_text").rlike(CUE)).select("_id", "path", F.char_length("_text").alias("_n"), F.explode(units).alias("u"))
-    with_cue = with_cue.select("_id", "path", "_n", "u.*", F.sha2(F.col("u.unit").cast("binary"), 256).alias("key"))
+    with_cue = own.where(F.col("_text").rlike(CUE)).select("_key", "path", F.char_length("_text").alias("_n"), F.explode(units).alias("u"))
+    with_cue = with_cue.select("_key", "path", "_n", "u.*", F.sha2(F.col("u.unit").cast("binary"), 256).alias("key"))
+    with_cue = stored(with_cue, "license_units", True)  # few of all texts; so these are scanned once
     # Written before it is joined: the plan can then split the rows of a line that very many documents have.
     scores = stored(scored(with_cue.select("key", "unit"), templates), "license_scores", True)
-    hits = with_cue.select("_id", "path", "_n", "kind", "key", F.char_length("unit").alias("length")).join(scores, "key")
+    hits = with_cue.select("_key", "path", "_n", "kind", "key", F.char_length("unit").alias("length")).join(scores, "key")
     order = F.struct(-F.col("score"), F.col("license"))
-    best = hits.groupBy("_id").agg(F.max("score").alias("own_score"), F.min_by("license", order).alias("own_license"))
+    best = hits.groupBy("_key").agg(F.max("score").alias("own_score"), F.min_by("license", order).alias("own_license"))
     # Licence files: by directory, the one of the greatest score, then of the first path.
-    files = hits.groupBy("_id", "path", "_n").agg(
+    files = hits.groupBy("_key", "path", "_n").agg(
         F.greatest(*(F.sum(F.when(F.col("kind") == k, F.col("length"))) for k in ("line", "block", "whole"))).alias("held"), F.max("score").alias("score"), F.min_by("license", order).alias("license")
     )
     files = files.where(F.col("held") >= FILE_SHARE * F.col("_n")).withColumn("folder", directory(F.col("path"))).where("folder IS NOT NULL")
     files = files.groupBy("folder").agg(F.min_by(F.struct("license", "path"), F.struct(-F.col("score"), F.col("path"))).alias("f"))
-    rows = own.select("_id", "path").withColumn("folder", directory(F.col("path")))
+    rows = own.select("_id", "_key", "path").withColumn("folder", directory(F.col("path")))
     above = rows.select("folder").where("folder IS NOT NULL").distinct().select("folder", F.posexplode(ancestors(F.col("folder"))).alias("up", "ancestor"))
     found = above.join(files.withColumnRenamed("folder", "ancestor"), "ancestor").groupBy("folder").agg(F.min_by("f", "up").alias("f"))
-    out = rows.join(best, "_id", "left").join(found, "folder", "left")
+    out = rows.join(best, "_key", "left").join(found, "folder", "left")
     return out.select(
         F.col("_id").alias(id_col),
         "path",

@@ -179,15 +179,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def rare_prefixes(sets: DataFrame, threshold: int) -> DataFrame:
-    """(id, prefix): the rarest shingles of each set among these sets, as ``count * 2**32 + hash``, ascending.
+    """(id, prefix): the rarest shingles of each set among these sets, as (count, shingle), ascending.
 
     So many that sets which are similar enough share some.  Ids with several rows are left out.
     """
     single = sets.groupBy("id").agg(F.count("*").alias("rows")).where("rows = 1").select("id")
     held = sets.join(single, "id", "left_semi").select("id", F.explode("shingles").alias("s"))
     counts = held.groupBy("s").agg(F.count("*").alias("n"))
-    order = F.least("n", F.lit(2**30)) * F.lit(2**32) + F.col("s").bitwiseAND(F.lit(2**32 - 1))
-    ranked = held.join(counts, "s").groupBy("id").agg(F.array_sort(F.collect_list(order)).alias("all"))
+    ranked = held.join(counts, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("all"))
     size = F.size("all") - F.ceil(F.size("all") * threshold / 100).cast("int") + 1
     return ranked.select("id", F.slice("all", F.lit(1), size).alias("prefix"))
 
@@ -195,12 +194,12 @@ def rare_prefixes(sets: DataFrame, threshold: int) -> DataFrame:
 def _may_share_enough(x: str, y: str, nx: str, ny: str, threshold: int) -> Column:
     """False only where prefixes show that two sets share too few shingles.
 
-    Up to the lower of the last places of both prefixes all shared shingles are known; beyond it there are no more of
-    them than either set has left.
+    Whole shingles are compared and put in order.  Up to the lower of the last places of both prefixes all shared ones are known; beyond it there are no
+    more of them than either set has left.
     """
     last = F.least(F.element_at(x, -1), F.element_at(y, -1))
     left = F.least(*(F.col(n) - F.size(F.filter(p, lambda v: v <= last)) for p, n in ((x, nx), (y, ny))))
-    most = F.size(F.array_intersect(x, y)) + left
+    most = F.size(F.array_intersect(F.col(x)["s"], F.col(y)["s"])) + left
     return F.coalesce((100 + threshold) * most >= threshold * (F.col(nx) + F.col(ny)), F.lit(True))
 
 

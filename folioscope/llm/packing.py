@@ -39,7 +39,8 @@ BLOCK = 32
 END_ID = 1
 #: Lengths that patterns are made of.
 SIZES = np.asarray([*range(1, BLOCK), *range(BLOCK, SEQUENCE, BLOCK)])
-MAX_COLUMNS = 600
+#: Columns are generated until the lower bound of the linear program is as near as this share of its value.
+GAP = 1e-7
 
 PIECE_SCHEMA = "doc_id long, start long, size int, crc long, doc_tokens long, part int, local_rank long, blocks binary, ids binary"
 PACKED_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -72,39 +73,40 @@ def joined_crc(crcs: list[int]) -> int:
 
 
 def best_pattern(sizes: np.ndarray, values: np.ndarray, room: int = SEQUENCE) -> tuple[float, np.ndarray]:
-    """The multiset of sizes of the greatest value that fits, by dynamic programming; sizes ascend."""
-    best, pick = np.zeros(room + 1), np.full(room + 1, -1)
-    fit = np.searchsorted(sizes, np.arange(room + 1), "right")
-    for c in range(1, room + 1):
-        best[c] = best[c - 1]
-        if fit[c]:
-            with_one = best[c - sizes[: fit[c]]] + values[: fit[c]]
-            i = int(with_one.argmax())
-            if with_one[i] > best[c] + 1e-12:
-                best[c], pick[c] = with_one[i], i
+    """The multiset of sizes of the greatest value that fits, by dynamic programming over the sizes.
+
+    The best that some copies of a size add to what smaller sizes hold is a running maximum along the steps of that size.
+    """
+    tables = [np.zeros(room + 1)]
+    for size, value in zip(sizes.tolist(), values.tolist(), strict=True):
+        steps = -(-(room + 1) // size)
+        held = np.full(steps * size, -np.inf)
+        held[: room + 1] = tables[-1]
+        paid = value * np.arange(steps)[:, None]
+        tables.append((np.maximum.accumulate(held.reshape(steps, size) - paid, axis=0) + paid).ravel()[: room + 1])
     counts, c = np.zeros(len(sizes), int), room
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            counts[pick[c]] += 1
-            c -= sizes[pick[c]]
-    return float(best[room]), counts
+    for i in range(len(sizes) - 1, -1, -1):
+        copies = np.arange(c // int(sizes[i]) + 1)
+        counts[i] = int((tables[i][c - copies * int(sizes[i])] + copies * values[i]).argmax())
+        c -= counts[i] * int(sizes[i])
+    return float(tables[-1][room]), counts
 
 
 def generate_columns(sizes: np.ndarray, demand: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (a column each) and how often to use each, for the fewest sequences: revised simplex with pricing.
 
-    Starts from patterns of one size.  Stops when no pattern prices out, or after ``MAX_COLUMNS``; what it has
-    then still meets the demand exactly.
+    Starts from patterns of one size.  With the value of the best pattern at the present prices, the program's value divided by it is a
+    lower bound; columns are generated until that bound is reached, however many it takes.  The demand is made a little
+    larger, by another share for each size, so that no step leaves the value as it is and none repeats.
     """
     basis = np.diag(SEQUENCE // sizes).astype(float)
-    for _ in range(MAX_COLUMNS):
+    spread = demand * (1 + 1e-6 * np.sqrt(np.arange(2, len(sizes) + 2))) + 1e-6 * np.sqrt(np.arange(2, len(sizes) + 2))
+    while True:
         prices = np.linalg.solve(basis.T, np.ones(len(sizes)))
         value, column = best_pattern(sizes, prices)
-        if value <= 1 + 1e-7:
+        if value <= 1 + GAP:
             break
-        use, step = np.linalg.solve(basis, np.stack([demand, column], 1)).T
+        use, step = np.linalg.solve(basis, np.stack([spread, column], 1)).T
         ratio = np.where(step > 1e-9, np.maximum(use, 0) / np.where(step > 1e-9, step, 1), np.inf)
         basis[:, int(ratio.argmin())] = column
     return np.rint(basis).astype(int), np.linalg.solve(basis, demand)

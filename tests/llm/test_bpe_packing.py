@@ -151,3 +151,20 @@ def test_best_pattern_is_optimal():
         for room in range(1, 21):
             best[room] = max([best[room - 1], *(best[room - s] + v for s, v in zip(sizes, values, strict=True) if s <= room)])
         assert abs(value - best[20]) < 1e-9 and abs(counts @ values - value) < 1e-9 and counts @ sizes <= 20
+
+
+def test_short_texts_are_cut_at_forced_boundaries(library):
+    codec = bpe.ForcedBoundaryCodec(bpe.vocabulary_path())
+    text = "naïve café — 日本語, l'été!"
+    assert len(codec.fragments(text.encode())) == 1 + len(codec.boundaries(text.encode())) > 1
+    assert codec.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_flat_histogram_reaches_the_optimum():
+    rng = np.random.default_rng(4)
+    demand = rng.integers(1, 2000, len(packing.SIZES)).astype(float)
+    columns, use = packing.generate_columns(packing.SIZES, demand)
+    prices = np.linalg.solve(columns.T.astype(float), np.ones(len(packing.SIZES)))
+    value, _ = packing.best_pattern(packing.SIZES, prices)
+    assert value <= 1 + 1e-6 and use.min() > -1e-3 * demand.max()
+    assert (columns.T @ packing.SIZES <= packing.SEQUENCE).all()

@@ -139,6 +139,16 @@ def test_prefixes_drop_no_link_and_many_others(spark):
     assert true and true <= kept and len(kept) < len(found) / 2
 
 
+def test_prefixes_compare_whole_shingles(spark):
+    """Shingles that agree in their low 32 bits are two, and a pair at the threshold is let through."""
+    shared = [(k << 32) | (k // 2) for k in range(1, 81)]
+    x, y = ([*shared, *((s << 40) | k for k in range(10))] for s in (1001, 1002))
+    prefixes = neardup.rare_prefixes(spark.createDataFrame([(1, x), (2, y)], "id long, shingles array<long>"), 80).withColumn("n", F.lit(90))
+    a, b = (prefixes.select(*(F.col(c).alias(f"{c}_{k}") for c in prefixes.columns)) for k in "xy")
+    found = a.join(b, F.col("id_x") < F.col("id_y")).select(neardup._may_share_enough("prefix_x", "prefix_y", "n_x", "n_y", 80).alias("may")).collect()
+    assert [r.may for r in found] == [True]
+
+
 # --- the pipeline
 
 

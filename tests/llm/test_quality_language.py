@@ -85,3 +85,12 @@ def test_out_of_place_distance_by_hand():
     sums = [sum(abs(list(own).index(k) - p.index(k)) if k in list(own) else 2 for k in own if k in p) + 2 * sum(k not in p for k in own) for p in ([ord("x"), ord("y")], [ord("y"), ord("x")])]
     name, score = profiles.predict("xx y")
     assert name == ("a" if sums[0] <= sums[1] else "b") and abs(score - (1 - min(sums) / 4)) < 1e-9
+
+
+def test_more_than_five_hundred_languages(docs):
+    rnd = random.Random(7)
+    letter = lambda k: "".join(chr(97 + (k // 26**j) % 26) for j in range(2))
+    rows = [(10 * k + j, f"{letter(k)} " * rnd.randrange(8, 12), f"l{k:03d}") for k in range(520) for j in range(8)]
+    profiles = language.fit_profiles(docs(rows).where(~language.held_out()))
+    assert len(profiles.names) == 520
+    assert all(profiles.predict(f"{letter(k)} " * 9)[0] == f"l{k:03d}" for k in (0, 3, 250, 510, 519))

@@ -92,3 +92,14 @@ def test_queries(docs):
     found = pii.scan_pii(docs(rows)).collect()
     assert {(r.doc_id, r.base_sha256) for r in found} == {(i, digest(brute_pii(t or ""), True)) for i, t in rows}
     assert secrets.scan_secrets(docs([])).count() == pii.scan_pii(docs([])).count() == 0
+
+
+@pytest.mark.parametrize("number", ["BE68 5390 0754 7034", "BE68539007547034", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947", "MT84MALT011000012345MTLCAST001S"])
+def test_account_numbers_end_by_country(number):
+    for before in ("", "to: ", "é ", "("):
+        for after in ("", " WITH LOVE", " VISA", ".", " 1234 5678", ", next", "\n"):
+            assert [s for s in pii.find_spans(before + number + after) if s[0] == "iban"] == [("iban", len(before), len(before) + len(number))], (before, after)
+        for after in ("X", "9", "abc"):
+            assert not [s for s in pii.find_spans(before + number + after) if s[0] == "iban"]
+    wrong = number[:-1] + ("0" if number[-1] != "0" else "1")
+    assert not [s for s in pii.find_spans(wrong) if s[0] == "iban"]

@@ -191,6 +191,12 @@ def test_licences(docs):
     assert license.scan_licenses(docs([]), F.lit("a/b")).count() == 0
 
 
+def test_licence_of_a_row_without_an_id(docs):
+    df = docs([(None, "Released under the MIT License."), (1, "plain")])
+    path = F.when(F.col("doc_id").isNull(), F.lit("a/LICENSE")).otherwise(F.lit("a/x"))
+    assert {(r.doc_id, r.own_license, r.license) for r in license.scan_licenses(df, path).collect()} == {(None, "MIT", "MIT"), (1, None, "MIT")}
+
+
 def test_templates_are_their_own_best_match(spark):
     lines = spark.createDataFrame([(n, t) for n, t in license.TEMPLATES.items()], "key string, unit string")
     found = {r.key: (r.license, r.score) for r in license.scored(lines).collect()}
