@@ -44,7 +44,8 @@ def refusals(requests: DataFrame, limit: int) -> DataFrame:
 
 
 def byte_charge(declared: Column, ceiling: int) -> Column:
-    return F.least(F.coalesce(declared, F.lit(ceiling)), F.lit(ceiling))
+    """What a request counts for: its declared size, at most the ceiling; the ceiling where none above zero is declared."""
+    return F.when(declared > 0, F.least(declared, F.lit(ceiling))).otherwise(F.lit(ceiling))
 
 
 def occupancy(requests: DataFrame, ceiling: int, keys: tuple[str, ...] = ("client",)) -> DataFrame:
@@ -91,24 +92,28 @@ def queue_waits(jobs: DataFrame, limit: int) -> DataFrame:
     return jobs.groupBy("queue").applyInPandas(_folded("queue", ["submit_s", "job_id"], step, ["queue", "job_id", "started_s", "waited_s"]), schema)
 
 
-def admitted(requests: DataFrame, ceiling: int, budget: int) -> DataFrame:
-    """(client, request_id, admitted): a request is refused while others are in flight and it would exceed the budget."""
+def admitted(requests: DataFrame, ceiling: int, budget: int, gate: str | None = None) -> DataFrame:
+    """(client, request_id, admitted): a request is refused while others are in flight and it would exceed the budget.
+
+    A deployment has one counter for all its clients; ``gate`` is the column that tells deployments apart, none for requests
+    of one.  Each decision depends on those before it, so the requests of a deployment are replayed in one task.
+    """
 
     def step(batch: pd.DataFrame) -> Iterator[tuple]:
         flying: list[tuple[float, int]] = []
         total = 0
-        for client, request, at, declared, hold in batch[["client", "request_id", "at_s", "declared_bytes", "hold_s"]].itertuples(index=False):
+        for client, request, at, charge, hold in batch[["client", "request_id", "at_s", "charge", "hold_s"]].itertuples(index=False):
             while flying and flying[0][0] <= at:
                 total -= heapq.heappop(flying)[1]
-            charge = ceiling if pd.isna(declared) else min(int(declared), ceiling)
             good = not flying or total + charge <= budget
             if good:
                 heapq.heappush(flying, (at + hold, charge))
                 total += charge
             yield client, request, good
 
-    timed = requests.withColumn("at_s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return timed.groupBy("client").applyInPandas(_folded("client", ["at_s", "request_id"], step, ["client", "request_id", "admitted"]), "client long, request_id long, admitted boolean")
+    timed = requests.withColumn("at_s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("charge", byte_charge(F.col("declared_bytes"), ceiling).cast("long"))
+    grouped = timed.groupBy(F.col(gate) if gate else F.lit(0))
+    return grouped.applyInPandas(_folded("gate", ["at_s", "request_id"], step, ["client", "request_id", "admitted"]), "client long, request_id long, admitted boolean")
 
 
 def token_cache(lookups: DataFrame, ttl_s: int = TOKEN_TTL_S) -> DataFrame:

@@ -379,7 +379,7 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "q_inflight_bytes",
-    """WITH c AS (SELECT *, least(coalesce(declared_bytes, 200000), 200000) AS charge FROM v_requests),
+    """WITH c AS (SELECT *, CASE WHEN declared_bytes > 0 AND declared_bytes < 200000 THEN declared_bytes ELSE 200000 END AS charge FROM v_requests),
 s AS (SELECT client, request_id, ts AS "at", charge AS delta FROM c UNION ALL SELECT client, request_id, ts + INTERVAL (hold_s) SECOND, -charge FROM c)
 SELECT client, request_id, "at", delta, CAST(sum(delta) OVER (PARTITION BY client ORDER BY "at", delta, request_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS in_flight FROM s""",
     ("v_requests",),
@@ -390,16 +390,17 @@ def _(t: Tables) -> DataFrame:
 
 @query(
     "q_admitted",
-    """WITH RECURSIVE n AS (SELECT client, request_id, epoch_us(ts) / 1e6 AS at_s, hold_s, least(coalesce(declared_bytes, 200000), 200000) AS charge, row_number() OVER (PARTITION BY client ORDER BY ts, request_id) AS n FROM v_requests),
-r AS (SELECT client, request_id, n, true AS admitted, [{'ends': at_s + hold_s, 'charge': charge}] AS flying FROM n WHERE n = 1
-  UNION ALL SELECT client, request_id, n, ok, CASE WHEN ok THEN list_append(left_, {'ends': at_s + hold_s, 'charge': charge}) ELSE left_ END
+    """WITH RECURSIVE n AS (SELECT deployment, client, request_id, epoch_us(ts) / 1e6 AS at_s, hold_s, CASE WHEN declared_bytes > 0 AND declared_bytes < 200000 THEN declared_bytes ELSE 200000 END AS charge,
+  row_number() OVER (PARTITION BY deployment ORDER BY ts, request_id) AS n FROM v_requests),
+r AS (SELECT deployment, client, request_id, n, true AS admitted, [{'ends': at_s + hold_s, 'charge': charge}] AS flying FROM n WHERE n = 1
+  UNION ALL SELECT deployment, client, request_id, n, ok, CASE WHEN ok THEN list_append(left_, {'ends': at_s + hold_s, 'charge': charge}) ELSE left_ END
   FROM (SELECT *, len(left_) = 0 OR list_sum(list_transform(left_, lambda x: x.charge)) + charge <= 300000 AS ok
-    FROM (SELECT n.*, list_filter(r.flying, lambda x: x.ends > n.at_s) AS left_ FROM r JOIN n ON n.client = r.client AND n.n = r.n + 1)))
+    FROM (SELECT n.*, list_filter(r.flying, lambda x: x.ends > n.at_s) AS left_ FROM r JOIN n ON n.deployment = r.deployment AND n.n = r.n + 1)))
 SELECT client, request_id, admitted FROM r""",
     ("v_requests",),
 )
 def _(t: Tables) -> DataFrame:
-    return scheduling.admitted(t["v_requests"], 200_000, 300_000)
+    return scheduling.admitted(t["v_requests"], 200_000, 300_000, "deployment")
 
 
 @query(
@@ -454,7 +455,7 @@ def _(t: Tables) -> DataFrame:
     """WITH RECURSIVE l AS (SELECT event_id % 40 AS client, event_id AS request_id, event_id * 7 + event_id % 11 AS at_s FROM events),
 n AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY at_s, request_id) AS n FROM l),
 r AS (SELECT client, request_id, n, at_s AS made, false AS hit FROM n WHERE n = 1
-  UNION ALL SELECT n.client, n.request_id, n.n, CASE WHEN n.at_s - r.made < 300 THEN r.made ELSE n.at_s END, n.at_s - r.made < 300 FROM r JOIN n ON n.client = r.client AND n.n = r.n + 1)
+  UNION ALL SELECT n.client, n.request_id, n.n, CASE WHEN n.at_s - r.made < 300 THEN r.made ELSE n.at_s END, n.at_s - r.made < 300 FROM r JOIN n ON n.deployment = r.deployment AND n.n = r.n + 1)
 SELECT client, request_id, hit FROM r""",
 )
 def _(t: Tables) -> DataFrame:

@@ -85,7 +85,8 @@ SELECT conv_id AS doc, cast(turn AS int) AS round, role AS severity, length(text
        CASE length(text) % 3 WHEN 0 THEN 'x' WHEN 1 THEN '3.0' ELSE cast(length(text) % 11 AS varchar(5)) END AS page_b
 FROM {conversations}""",
     "v_requests": """
-SELECT event_id AS request_id, user_id AS client, ts, CASE WHEN event_id % 4 <> 0 THEN cast(floor(value * 1000) AS bigint) END AS declared_bytes,
+SELECT event_id AS request_id, user_id AS client, user_id % 64 AS deployment, ts,
+       CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 0 WHEN event_id % 11 = 0 THEN -5 ELSE cast(floor(value * 1000) AS bigint) END AS declared_bytes,
        cast(floor(value) AS bigint) AS hold_s
 FROM {events}""",
     "v_chunks": """

@@ -299,7 +299,11 @@ def test_queue(spark):
 def test_byte_gate_and_cache(spark):
     req = [(1, 1, at(0), 80, 10), (1, 2, at(1), None, 10), (1, 3, at(2), 20, 1), (1, 4, at(11), 500, 5), (2, 5, at(0), 999, 1)]
     df = spark.createDataFrame(req, "client long, request_id long, ts timestamp_ntz, declared_bytes long, hold_s long")
-    assert rows(scheduling.admitted(df, 100, 100)) == [(1, 1, True), (1, 2, False), (1, 3, True), (1, 4, True), (2, 5, True)]
+    assert rows(scheduling.admitted(df, 100, 100, "client")) == [(1, 1, True), (1, 2, False), (1, 3, True), (1, 4, True), (2, 5, True)]
+    # One counter for all clients of a deployment: the second client meets the 80 of the first.
+    assert rows(scheduling.admitted(df, 100, 100)) == [(1, 1, True), (1, 2, False), (1, 3, True), (1, 4, True), (2, 5, False)]
+    odd = spark.createDataFrame([(1, 1, at(0), 0, 10), (2, 2, at(1), -5, 10), (3, 3, at(11), -5, 1), (3, 4, at(11), 0, 1)], df.schema)
+    assert rows(scheduling.admitted(odd, 100, 150)) == [(1, 1, True), (2, 2, False), (3, 3, True), (3, 4, False)]
     looks = spark.createDataFrame([(1, i, at(s)) for i, s in enumerate([0, 299, 300, 500, 601])], "client long, request_id long, ts timestamp_ntz")
     assert [r[2] for r in rows(scheduling.token_cache(looks))] == [False, True, False, True, False]
 
