@@ -112,8 +112,8 @@ def admitted(requests: DataFrame, ceiling: int, budget: int, gate: str | None =
             yield client, request, good
 
     timed = requests.withColumn("at_s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("charge", byte_charge(F.col("declared_bytes"), ceiling).cast("long"))
-    grouped = timed.groupBy(F.col(gate) if gate else F.lit(0))
-    return grouped.applyInPandas(_folded("gate", ["at_s", "request_id"], step, ["client", "request_id", "admitted"]), "client long, request_id long, admitted boolean")
+    timed = timed.withColumn("_gate", F.col(gate) if gate else F.lit(0))
+    return timed.groupBy("_gate").applyInPandas(_folded("gate", ["at_s", "request_id"], step, ["client", "request_id", "admitted"]), "client long, request_id long, admitted boolean")
 
 
 def token_cache(lookups: DataFrame, ttl_s: int = TOKEN_TTL_S) -> DataFrame:
