@@ -31,8 +31,8 @@ from .common import sha256_hex, small_batches
 
 #: The least bytes of a fragment: one, so that texts are cut at each forced boundary.
 FRAGMENT_BYTES = 1
-#: Bytes of fragments whose ids a worker keeps; it then begins anew.
-MEMO_BYTES = 8_000_000
+#: Bytes of memory for the ids of fragments that a worker keeps; it then begins anew.
+MEMO_BYTES = 48_000_000
 
 _SPACE_LEFT = [*range(9, 14), *range(28, 33)]
 #: How the byte-level tokenizer first splits a text (fixed value of the format).
@@ -56,6 +56,25 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class FragmentIds(dict):
+    """The ids of fragments as little-endian bytes, encoded where they are missing."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.size = encode, 0
+
+    def __missing__(self, raw: bytes) -> bytes:
+        found = self.encode(raw).astype("<u4", copy=False).tobytes()
+        size = 200 + len(raw) + len(found)
+        if self.size + size > MEMO_BYTES:
+            self.clear()
+            self.size = 0
+        if size <= MEMO_BYTES:
+            self[raw] = found
+            self.size += size
+        return found
+
+
 class ForcedBoundaryCodec:
     def __init__(self, path: str, fragment_bytes: int = FRAGMENT_BYTES):
         self.fragment_bytes = fragment_bytes
@@ -85,8 +104,7 @@ class ForcedBoundaryCodec:
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.special_ids = special
         self.fast = self._rank_encoder(spec["model"])
-        self.memo: dict[bytes, np.ndarray] = {}
-        self.memo_bytes = 0
+        self.memo = FragmentIds(self._encode_fragment)
 
     @cached_property
     def tokenizer(self):
@@ -108,10 +126,13 @@ class ForcedBoundaryCodec:
         return np.flatnonzero(cut) + 1
 
     def fragments(self, raw: bytes) -> list[bytes]:
-        """``raw`` cut at forced boundaries, ``fragment_bytes`` or a little more at a time."""
-        if len(raw) <= max(2, self.fragment_bytes):
+        """``raw`` cut at forced boundaries, each fragment of ``fragment_bytes`` at least."""
+        if len(raw) <= max(1, self.fragment_bytes):
             return [raw]
         at, cuts = self.boundaries(raw), [0]
+        if self.fragment_bytes <= 1:
+            cuts += at.tolist()
+            at = at[:0]
         while (i := int(np.searchsorted(at, cuts[-1] + self.fragment_bytes))) < len(at):
             cuts.append(int(at[i]))
         return [raw[i:j] for i, j in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
@@ -135,19 +156,6 @@ class ForcedBoundaryCodec:
                 pass
         return np.asarray(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u4")
 
-    def _fragment_ids(self, raw: bytes) -> np.ndarray:
-        found = self.memo.get(raw)
-        if found is None:
-            found = self._encode_fragment(raw)
-            size = 200 + len(raw) + found.nbytes
-            if size <= MEMO_BYTES:
-                if self.memo_bytes + size > MEMO_BYTES:
-                    self.memo.clear()
-                    self.memo_bytes = 0
-                self.memo[raw] = found
-                self.memo_bytes += size
-        return found
-
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of one whole text."""
         out = [np.zeros(0, "<u4")]
@@ -155,8 +163,8 @@ class ForcedBoundaryCodec:
             if i % 2:
                 out.append(np.asarray([self.special_ids[piece]], "<u4"))
             elif piece:
-                out += map(self._fragment_ids, self.fragments(piece.encode()))
-        return np.concatenate(out).astype("<u4", copy=False)
+                out.append(np.frombuffer(b"".join(map(self.memo.__getitem__, self.fragments(piece.encode()))), "<u4"))
+        return np.concatenate(out)
 
     def encode_each(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each whole text, in order."""
