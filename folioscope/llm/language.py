@@ -139,13 +139,15 @@ def _fit_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows:
     """(lang, text) of about ``rows`` labelled documents of each language, however many languages; none where nothing is labelled."""
     langs = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     own = langs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = own.groupBy("lang").agg(F.count("*").alias("n"))
-    if counts.isEmpty():
+    # A number for each language, as the profiles have hundreds; only languages of more than ``rows`` documents need a share.
+    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return None
-    # A hash lies within this share of its range, on either side of zero; one row a language joins.
-    share = F.lit(float(rows)) / F.col("n")
-    near = (F.col("n") <= rows) | (F.col("h").cast("double") / F.lit(2.0**64) + F.lit(0.5) < share)
-    return own.join(counts, "lang").where(near).select("lang", "text")
+    large = {name: rows / n for name, n in sorted(counts.items()) if n > rows}
+    if large:
+        shares = F.create_map(*(F.lit(x) for pair in large.items() for x in pair))
+        own = own.where(F.col("h").cast("double") / F.lit(2.0**64) + F.lit(0.5) < F.coalesce(F.try_element_at(shares, "lang"), F.lit(2.0)))
+    return own.select("lang", "text")
 
 
 def low_scores(
