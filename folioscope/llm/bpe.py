@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import cached_property, lru_cache
 
@@ -64,7 +65,7 @@ class FragmentIds(dict):
         self.encode, self.size = encode, 0
 
     def __missing__(self, raw: bytes) -> bytes:
-        found = self.encode(raw).astype("<u4", copy=False).tobytes()
+        found = self.encode(raw)
         size = 200 + len(raw) + len(found)
         if self.size + size > MEMO_BYTES:
             self.clear()
@@ -148,18 +149,19 @@ class ForcedBoundaryCodec:
         ranks = {raw: i for i, raw in enumerate(self.tokens) if i not in self.special_ids.values()}
         return tiktoken.Encoding("fragments", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def _encode_fragment(self, raw: bytes) -> np.ndarray:
+    def _encode_fragment(self, raw: bytes) -> bytes:
         if self.fast is not None:
             try:
-                return self.fast.encode_to_numpy(raw.decode(), disallowed_special=())
+                ids = self.fast.encode_ordinary(raw.decode())
+                return struct.pack(f"<{len(ids)}I", *ids)
             except (ValueError, RuntimeError):  # its pattern gave up on a run without any boundary
                 pass
-        return np.asarray(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u4")
+        return np.asarray(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of one whole text."""
-        out = [np.zeros(0, "<u4")]
-        for i, piece in enumerate(self.special.split(text or "") if self.special else [text or ""]):
+        out, text = [np.zeros(0, "<u4")], text or ""
+        for i, piece in enumerate(self.special.split(text) if any(map(text.__contains__, self.special_ids)) else [text]):
             if i % 2:
                 out.append(np.asarray([self.special_ids[piece]], "<u4"))
             elif piece:
