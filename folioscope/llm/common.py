@@ -35,13 +35,15 @@ def small_batches(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (single-machine tests) a temporary folder is chosen, once,
-    and set in the session.
+    Only where the session has none and runs on one machine (tests) a temporary folder is chosen, once,
+    and set in the session.  On a cluster executors would not see such a folder, so there the setting must be made.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="folioscope-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -60,6 +62,11 @@ def stored(df: DataFrame, name: str, compact: bool = False, folder: str = "") ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Stored tables that a computation needs until it is done; ``drop`` deletes them from the shared folder."""
 
@@ -70,8 +77,7 @@ class Scratch:
         return stored(df, name, True, self.folder)
 
     def drop(self) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_folder(self.spark, self.folder)
 
 
 def span_text(spans: Iterable[Span], order: Sequence[str]) -> str:

@@ -12,7 +12,9 @@ input row with the smallest id of its connected component.
 4.  Components are taken.  In a bucket whose members are still in several components, each member outside the
     largest one is joined with members of other components.  Sketches are compared inside the join, and so are
     the rarest shingles of both sets, which bound the intersection exactly.  Only pairs that may be similar
-    leave the join.  These are confirmed too, and components are taken again.
+    leave the join.  A bucket of more than ``WHOLE_BUCKET`` members is not joined as a whole: its members meet only where
+    they share one of their rarest shingles, as similar sets must, so a hot bucket of different documents costs
+    its members and their shingles, not their pairs.  All these pairs are confirmed too, and components are taken again.
 
 Members of one component need no further comparison, so a group of near copies costs a number of pairs
 in proportion to its size.  There is no cap on buckets, partners or candidates.  A pair at the threshold of
@@ -44,6 +46,8 @@ BANDS, ROWS = 48, 6
 #: Samples that an odd sketch folds, its 64-bit words, and the most bits in which two sketches may differ.  With
 #: 256 samples, similarity 0.8 gives 84 on average; 140 is over six standard deviations more.
 ODD_SAMPLES, ODD_WORDS, MAX_ODD_BITS = 256, 8, 140
+#: Members up to which a bucket is compared as a whole; both ways find the same links.
+WHOLE_BUCKET = 256
 SEED = 20_240_731
 #: Words whose hashes a worker keeps.
 WORD_TABLE = 150_000
@@ -178,17 +182,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.where(100 * shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
-def rare_prefixes(sets: DataFrame, threshold: int) -> DataFrame:
-    """(id, prefix): the rarest shingles of each set among these sets, as (count, shingle), ascending.
+def all_prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """(id, single, prefix): the rarest shingles of each set among these sets, as (count, shingle), ascending.
 
-    So many that sets which are similar enough share some.  Ids with several rows are left out.
+    So many that sets which are similar enough share some.  ``single`` is false for ids with several rows; these have a prefix for each set.
     """
-    single = sets.groupBy("id").agg(F.count("*").alias("rows")).where("rows = 1").select("id")
-    held = sets.join(single, "id", "left_semi").select("id", F.explode("shingles").alias("s"))
+    rows = sets.groupBy("id").agg((F.count("*") == 1).alias("single"))
+    held = sets.join(rows, "id").select("id", "single", F.xxhash64("shingles").alias("row"), F.explode("shingles").alias("s"))
     counts = held.groupBy("s").agg(F.count("*").alias("n"))
-    ranked = held.join(counts, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("all"))
+    ranked = held.join(counts, "s").groupBy("id", "single", "row").agg(F.sort_array(F.collect_list(F.struct("n", "s"))).alias("all"))
     size = F.size("all") - F.ceil(F.size("all") * threshold / 100).cast("int") + 1
-    return ranked.select("id", F.slice("all", F.lit(1), size).alias("prefix"))
+    return ranked.select("id", "single", F.slice("all", F.lit(1), size).alias("prefix"))
+
+
+def rare_prefixes(sets: DataFrame, threshold: int) -> DataFrame:
+    """(id, prefix) as in ``all_prefixes``, without ids that have several rows."""
+    return all_prefixes(sets, threshold).where("single").select("id", "prefix")
 
 
 def _may_share_enough(x: str, y: str, nx: str, ny: str, threshold: int) -> Column:
@@ -249,14 +258,14 @@ def sifted(pairs: DataFrame, odd: DataFrame, threshold: int) -> DataFrame:
 
 
 def open_rows(grouped: DataFrame) -> DataFrame:
-    """Members (key, id, center, component) of buckets that still hold several components, with the largest of these.
+    """Members (key, id, component, largest, members) of buckets that still hold several components: with the largest of these and the bucket's size.
 
     The centre is left out: pairs with it have been compared.
     """
     sizes = grouped.groupBy("key", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.max(F.struct("n", "component")).alias("most"))
-    several = largest.where("groups > 1").select("key", F.col("most.component").alias("largest"))
-    return grouped.where("id <> center").join(several, "key").select("key", "id", "component", "largest")
+    largest = sizes.groupBy("key").agg(F.count("*").alias("groups"), F.sum("n").alias("members"), F.max(F.struct("n", "component")).alias("most"))
+    several = largest.where("groups > 1").select("key", F.col("most.component").alias("largest"), "members")
+    return grouped.where("id <> center").join(several, "key").select("key", "id", "component", "largest", "members")
 
 
 def pairs_across(rest: DataFrame, threshold: int) -> DataFrame:
@@ -275,6 +284,19 @@ def pairs_across(rest: DataFrame, threshold: int) -> DataFrame:
     return found.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
+def pairs_sharing(rest: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of bucket members in different components that share one of their rarest shingles.
+
+    Rows are (key, id, component, largest), prefixes (id, prefix).  Shingles that only one set has are shared with none and go first.
+    """
+    shared = prefixes.select("id", F.explode(F.filter("prefix", lambda v: v["n"] > 1)).alias("v")).select("id", F.col("v.s").alias("s"))
+    held = rest.join(shared, "id").select("key", "s", "id", "component", (F.col("component") != F.col("largest")).alias("minor"))
+    x = held.where("minor").select("key", "s", F.col("id").alias("x"), F.col("component").alias("cx"))
+    y = held.select("key", "s", F.col("id").alias("y"), F.col("component").alias("cy"), (~F.col("minor")).alias("major"))
+    found = x.join(y, ["key", "s"]).where((F.col("cx") != F.col("cy")) & (F.col("major") | (F.col("x") < F.col("y"))))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def candidate_links(nodes: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """Confirmed links (a, b) between nodes: enough of them that components come out as with all links."""
     keep = Scratch(nodes.sparkSession, "candidates")
@@ -292,9 +314,12 @@ def candidate_links(nodes: DataFrame, docs: DataFrame, size: int, threshold: int
     rest = keep(open_rows(grouped), "rest")
     if not rest.isEmpty():
         sets = keep(shingle_sets(rest.select("id").distinct(), docs, size), "sets")
-        known = rest.join(odd, "id").join(rare_prefixes(sets, threshold), "id", "left")
-        others = keep(pairs_across(known, threshold), "others")
-        links = links.unionByName(confirmed(others, sets, threshold))
+        prefixes = keep(all_prefixes(sets, threshold), "prefixes")
+        small, large = (rest.where(F.col("members") <= WHOLE_BUCKET), rest.where(F.col("members") > WHOLE_BUCKET))
+        others = pairs_across(small.join(odd, "id").join(prefixes.where("single").select("id", "prefix"), "id", "left"), threshold)
+        if not large.isEmpty():
+            others = others.unionByName(sifted(pairs_sharing(large, prefixes), odd, threshold)).distinct()
+        links = links.unionByName(confirmed(keep(others, "others"), sets, threshold))
     found = stored(links, "links", True)
     keep.drop()
     return found
