@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 Span = tuple[str, int, int]
@@ -20,18 +24,46 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
-#: Rows that go to a Python worker at a time.  A text can be long, so the default of 10,000 would hold too much.
-BATCH_ROWS = 1000
+#: Rows, and bytes, that go to a Python worker at a time.  A text can be long, so the defaults of 10,000 and 64 MB would hold too much.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after lowering its session's rows in an Arrow batch to ``BATCH_ROWS`` where they are more."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    """``df``, after lowering its session's rows and bytes in an Arrow batch to ``BATCH_ROWS`` and ``BATCH_BYTES`` where they are more."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        held = conf.get(name).lower().removesuffix("b")
+        if not (held.lstrip("-").isdigit() and 0 < int(held) <= most):
+            conf.set(name, str(most))
     return df
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system: workers outlive their task, and the next stage's tables need the room."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The function of batches ``run``, which gives memory back when it begins and when it ends."""
+
+    def tidied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import give_back, small_batches, tidy
 
 UNKNOWN = "und"
 PROFILE_SIZE = 300
@@ -125,7 +125,7 @@ def fit_profiles(
     fit = _fit_rows(docs, id_col, text_col, lang_col, rows)
     if fit is None:
         return Profiles({})
-    grams = fit.mapInPandas(_partial_counts, "lang string, k long, n long")
+    grams = fit.mapInPandas(tidy(_partial_counts), "lang string, k long, n long")
     sums = grams.groupBy("lang", "k").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "k")
     top = sums.withColumn("r", F.row_number().over(best)).where(F.col("r") <= size).select("lang", "k", "r")
@@ -166,7 +166,9 @@ def predictor(profiles: Profiles):
 
     @F.pandas_udf(PREDICTION)
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([profiles.predict(t) for t in texts], columns=PREDICTION.names)
+        found = pd.DataFrame([profiles.predict(t) for t in texts], columns=PREDICTION.names)
+        give_back()
+        return found
 
     return predict
 

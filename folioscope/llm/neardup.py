@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import bloom_filter, may_hold
-from .common import Scratch, small_batches, stored
+from .common import Scratch, small_batches, stored, tidy
 
 SHINGLE = 4
 THRESHOLD = 80
@@ -49,7 +49,7 @@ ODD_SAMPLES, ODD_WORDS, MAX_ODD_BITS = 256, 8, 140
 #: Members up to which a bucket is compared as a whole; both ways find the same links.
 WHOLE_BUCKET = 256
 SEED = 20_240_731
-#: Words whose hashes a worker keeps.
+#: Words whose hashes a worker keeps during a task.
 WORD_TABLE = 150_000
 
 SKETCH_SCHEMA = "id long, n_shingles long, k1 long, k2 long, bands array<long>, odd array<long>"
@@ -141,6 +141,7 @@ def _sketches(size: int):
             out = pd.DataFrame(rows, columns=["id", "n_shingles", "k1", "k2", "bands", "odd"])
             out["id"] = out["id"].astype("Int64")
             yield out
+        _words.clear()
 
     return run
 
@@ -150,6 +151,7 @@ def _sets(size: int):
         for batch in batches:
             sets = [shingle_set(t, size).view(np.int64) for t in batch["text"].array]
             yield pd.DataFrame({"id": batch["id"], "shingles": pd.Series(sets, dtype=object)})
+        _words.clear()
 
     return run
 
@@ -170,7 +172,7 @@ def shingle_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     A Bloom filter of the ids goes ahead of the join, so that texts of other documents are not shuffled.
     """
     likely = docs.where(may_hold(bloom_filter(ids, "id").scalar(), F.col("id")))
-    return likely.join(ids, "id", "left_semi").mapInPandas(_sets(size), SET_SCHEMA)
+    return likely.join(ids, "id", "left_semi").mapInPandas(tidy(_sets(size)), SET_SCHEMA)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -339,7 +341,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; kept is true for the smallest id of a component."""
     own = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = stored(own.mapInPandas(_sketches(size), SKETCH_SCHEMA), "sketches")
+    sketches = stored(own.mapInPandas(tidy(_sketches(size)), SKETCH_SCHEMA), "sketches")
     sets = sketches.where("n_shingles > 0 AND id IS NOT NULL")
     # Written before they are joined: the plan can then split the rows of a digest that very many documents have.
     classes = stored(sets.groupBy("k1", "k2").agg(F.min("id").alias("rep")), "classes", True)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec
-from .common import small_batches, stored
+from .common import small_batches, stored, tidy
 
 SEQUENCE = 2048
 BLOCK = 32
@@ -268,11 +268,11 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: where in its document it begins, and where in which sequence it lies."""
     own = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = stored(own.mapInPandas(piece_rows(path, end_id), PIECE_SCHEMA), "pieces")
+    pieces = stored(own.mapInPandas(tidy(piece_rows(path, end_id)), PIECE_SCHEMA), "pieces")
     # Ranks begin at 0 in each task, so the greatest one counts a task's pieces of that length.
     counts = stored(pieces.groupBy("size", "part").agg((F.max("local_rank") + 1).alias("n")), "piece_counts")
     plan = make_plan({r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()})
     before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("size", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
     ranked = pieces.join(offsets, ["size", "part"]).withColumn("rank", F.col("local_rank") + F.col("earlier"))
-    return ranked.drop("part", "local_rank", "earlier").mapInPandas(placed(plan), PACKED_SCHEMA)
+    return ranked.drop("part", "local_rank", "earlier").mapInPandas(tidy(placed(plan)), PACKED_SCHEMA)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import give_back, small_batches
 
 SYMBOLS = "#*$%&|<>"
 SPACES = "\t\n\v\f\r "
@@ -94,7 +94,9 @@ def repeated_words(words: list[bytes]) -> int:
 
 @F.pandas_udf(LEDGER_TYPE)
 def _measure(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES), dtype="int64")
+    found = pd.DataFrame([measure(t) for t in texts], columns=list(MEASURES), dtype="int64")
+    give_back()
+    return found
 
 
 def failure_bits(rules: Iterable[Rule] = RULES) -> Column:

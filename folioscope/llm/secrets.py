@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Span, sha256_hex, small_batches, span_text
+from .common import Span, give_back, sha256_hex, small_batches, span_text
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "hosted", "package")
@@ -171,7 +171,9 @@ def merged(spans: list[Span]) -> list[tuple[int, int]]:
 
 @F.pandas_udf(T.StringType())
 def masked(texts: pd.Series) -> pd.Series:
-    return pd.Series([mask(t) for t in texts], dtype=object)
+    found = pd.Series([mask(t) for t in texts], dtype=object)
+    give_back()
+    return found
 
 
 def secret_spans(text: Column) -> Column:
