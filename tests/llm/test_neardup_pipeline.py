@@ -149,29 +149,6 @@ def test_prefixes_compare_whole_shingles(spark):
     assert [r.may for r in found] == [True]
 
 
-@pytest.mark.parametrize("whole", [0, 3])
-def test_large_buckets_meet_by_rare_shingles(spark, monkeypatch, whole):
-    """Buckets beyond the bound are joined by rare shingles, and components stay those of all pairs, repeated ids included."""
-    monkeypatch.setattr(neardup, "WHOLE_BUCKET", whole)
-    rnd = random.Random(17)
-    common = [f"c{k}" for k in range(60)]
-    rows = families(4) + [(1000 + i, " ".join([*common, *(f"o{i}_{k}" for k in range(20))])) for i in range(40)]
-    rows += [(1100 + i, " ".join(edited(rows[-1 - i][1].split(), rnd, 1))) for i in range(10)]
-    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in found} == brute(rows)
-
-
-def test_hot_bucket_costs_its_members(spark):
-    """20,000 different sets in one bucket, whose common shingles are none of their rarest: no pair is made, but for the two that share a rare one."""
-    n = 20_000
-    rest = spark.range(n).select(F.lit(7).alias("key"), "id", F.col("id").alias("component"), F.lit(0).cast("long").alias("largest"))
-    own = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: F.struct(F.lit(1).cast("long").alias("n"), F.col("id") * 10 + k))
-    twin = F.array(F.struct(F.lit(2).cast("long").alias("n"), F.lit(-5).cast("long").alias("s")))
-    prefix = F.when(F.col("id").isin(11, 19), twin).otherwise(F.transform(own, lambda v: F.struct(v["n"].alias("n"), v["col2"].alias("s"))))
-    pairs = neardup.pairs_sharing(rest, spark.range(n).select("id", prefix.alias("prefix")))
-    assert [(r.a, r.b) for r in pairs.collect()] == [(11, 19)]
-
-
 # --- the pipeline
 
 
