@@ -7,16 +7,48 @@ block that opens before any text has been announced hands its marker down to its
 from __future__ import annotations
 
 import re
-import sys
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from .htmltree import Element, parse
 
 # Fixed values of the announcement.
 INLINE = frozenset(
-    "a abbr b bdi bdo br cite code data dfn em i img kbd mark q rp rt ruby s samp small span strong sub sup time u var wbr".split()
+    (
+        "a",
+        "abbr",
+        "b",
+        "bdi",
+        "bdo",
+        "br",
+        "cite",
+        "code",
+        "data",
+        "dfn",
+        "em",
+        "i",
+        "img",
+        "kbd",
+        "mark",
+        "q",
+        "rp",
+        "rt",
+        "ruby",
+        "s",
+        "samp",
+        "small",
+        "span",
+        "strong",
+        "sub",
+        "sup",
+        "time",
+        "u",
+        "var",
+        "wbr",
+    )
 )
-FIELD = frozenset("input textarea select button summary".split())
-SILENT = frozenset("style script template noscript".split())
+FIELD = ("input", "textarea", "select", "button", "summary")
+SILENT = ("style", "script", "template", "noscript")
 MARKERS = {
     "li": "[List item]",
     "blockquote": "[Quote]",
@@ -43,77 +75,91 @@ def own_name(x: Element) -> str:
     return squeeze(x.get("aria-label") or x.get("title") or "")
 
 
-def span(x: Element, attr: str) -> int:
-    m = re.match(r"\s*([0-9]+)", x.get(attr) or "")
-    return min(SPAN_CAP, max(1, int(m[1][:6]))) if m else 1
+def number(x: Element, attr: str) -> int:
+    """A span of cells as browsers read it: the digits that the value begins with, from 1 to the cap."""
+    digits = re.match(r"\s*([0-9]{0,6})", x.get(attr) or "")[1]
+    return sorted((1, int(digits or 1), SPAN_CAP))[1]
 
 
-class Announcer:
-    def __init__(self):
-        self.lines: list[str] = []
+# Inline content: what is said for an element, given what is said inside it
 
-    # Inline content
 
-    def joined(self, x: Element, sep: str = " ", elements_only: bool = False) -> str:
-        out = []
-        for c in x.children:
-            if isinstance(c, str) and elements_only:
-                continue
-            said = self.inline(c)
-            if said:
-                out.append(said)
-        return sep.join(out)
-
-    def inline(self, x: Element | str) -> str:
-        if isinstance(x, str):
-            return squeeze(x)
-        if x.name in SILENT or x.name == "br":
-            return ""
-        if x.name == "img":
-            return self.image(x)
-        if x.name in FIELD:
-            return self.field(x)
-        inner = self.joined(x) or own_name(x)
-        return squeeze(f"[Link] {inner}" if x.name == "a" else inner)
-
-    def image(self, x: Element) -> str:
-        alt = x.get("alt")
-        if alt is not None:
-            return squeeze(f"[Image alt] {alt}") if alt.strip() else "[Image] [decorative, alt empty]"
+def _said_image(x: Element, inside: str) -> str:
+    if x.get("alt") is None:
         return f"[Image alt] {own_name(x)}" if own_name(x) else "[Image] [alt missing]"
+    return f"[Image alt] {x.get('alt')}" if x.get("alt").strip() else "[Image] [decorative, alt empty]"
 
-    def field(self, x: Element) -> str:
-        inner = ""
-        if x.name != "input":
-            inner = self.joined(x, ", ", True) if x.name == "select" else self.joined(x)
-        kind = squeeze(f"{x.name} {x.get('type') or ''}")
-        said = filter(None, (own_name(x), x.get("placeholder"), x.get("value"), inner))
-        return squeeze(f"[Field {kind}] {' '.join(said)}")
-
-    # Tables
-
-    def table(self, x: Element) -> None:
-        rows, caption, below = [], None, [c for c in reversed(x.children) if isinstance(c, Element)]
-        while below:
-            e = below.pop()
-            if e.name == "table":
-                continue
-            if e.name == "tr":
-                rows.append(e)
-            elif e.name == "caption" and caption is None:
-                caption = e
-            below += [c for c in reversed(e.children) if isinstance(c, Element)]
-        cells = [[c for c in r.children if isinstance(c, Element) and c.name in ("td", "th")] for r in rows]
-        columns = max((sum(span(c, "colspan") for c in r) for r in cells), default=0)
-        label = self.inline(caption) if caption else "[no caption]"
-        self.lines.append(squeeze(f"[Table] {label} [{len(rows)} rows, {columns} columns]"))
-        for r in cells:
-            head = "[Header row]" if r and all(c.name == "th" for c in r) else "[Row]"
-            self.lines.append(squeeze(f"{head} {' | '.join(map(self.cell, r))}"))
-
-    def cell(self, c: Element) -> str:
-        notes = [f"[spans {n} {what}]" for n, what in ((span(c, "colspan"), "columns"), (span(c, "rowspan"), "rows")) if n > 1]
-        return squeeze(" ".join([self.inline(c) or "[empty]", *notes]))
+
+def _said_field(x: Element, inside: str) -> str:
+    return " ".join((f"[Field {squeeze(x.name + ' ' + (x.get('type') or ''))}]", own_name(x), x.get("placeholder") or "", x.get("value") or "", inside))
+
+
+@dataclass(frozen=True)
+class Kind:
+    """How elements of a kind are said: of the element and its content, which content counts, and what stands between pieces of it."""
+
+    say: Callable[[Element, str], str] = lambda x, inside: inside or own_name(x)
+    content: type | tuple[type, ...] = (Element, str)
+    between: str = " "
+
+
+NOTHING = ()
+KINDS = {
+    **dict.fromkeys(FIELD, Kind(_said_field)),
+    **dict.fromkeys((*SILENT, "br"), Kind(lambda x, inside: "", NOTHING)),
+    "a": Kind(lambda x, inside: f"[Link] {inside or own_name(x)}"),
+    "img": Kind(_said_image, NOTHING),
+    "input": Kind(_said_field, NOTHING),
+    "select": Kind(_said_field, Element, ", "),
+}
+PLAIN = Kind()
+
+
+def inline(root: Element | str) -> str:
+    """What is said for inline content, in one pass that leaves an element after its children and keeps its own stack."""
+    said: list[list[str]] = [[]]
+    ahead: list[tuple[Element | str, Kind | None]] = [(root, None)]
+    while ahead:
+        x, left = ahead.pop()
+        if isinstance(x, Element) and left is None:
+            kind = KINDS.get(x.name, PLAIN)
+            said.append([])
+            ahead.append((x, kind))
+            ahead += [(c, None) for c in reversed(x.children) if isinstance(c, kind.content)]
+            continue
+        words = squeeze(left.say(x, left.between.join(said.pop())) if left else x)
+        said[-1] += [words] if words else []
+    return said[0][0] if said[0] else ""
+
+
+def _of_table(x: Element) -> tuple[list[Element], Element | None]:
+    """Rows and first caption of a table, without those of tables inside it."""
+    parts, below = [], [x]
+    while below:
+        e = below.pop()
+        parts.append(e)
+        below += [c for c in reversed(e.children) if isinstance(c, Element) and c.name != "table"]
+    return [e for e in parts if e.name == "tr"], next((e for e in parts if e.name == "caption"), None)
+
+
+def cell(c: Element) -> str:
+    wide, high = number(c, "colspan"), number(c, "rowspan")
+    return squeeze(f"{inline(c) or '[empty]'} {f'[spans {wide} columns]' if wide > 1 else ''} {f'[spans {high} rows]' if high > 1 else ''}")
+
+
+def table(x: Element) -> list[str]:
+    rows, caption = _of_table(x)
+    cells = [[c for c in r.children if isinstance(c, Element) and c.name in ("td", "th")] for r in rows]
+    columns = max((sum(number(c, "colspan") for c in r) for r in cells), default=0)
+    lines = [f"[Table] {inline(caption) if caption else '[no caption]'} [{len(rows)} rows, {columns} columns]"]
+    for r in cells:
+        lines.append(f"[{'Header row' if {c.name for c in r} == {'th'} else 'Row'}] {' | '.join(map(cell, r))}")
+    return [squeeze(line) for line in lines]
+
+
+class Announcer:
+    def __init__(self):
+        self.lines: list[str] = []
 
     # Blocks, with a stack of their own: [element, next child, marker not yet announced, inline pieces of the line]
 
@@ -136,15 +182,12 @@ class Announcer:
             x = frame[0].children[frame[1]]
             frame[1] += 1
             if isinstance(x, str) or x.name in INLINE:
-                frame[3] += filter(None, [self.inline(x)])
+                frame[3] += filter(None, [inline(x)])
             elif x.name in SILENT:
                 continue
             elif x.name == "table" or x.name in FIELD:
                 self.end_line(frame)
-                if x.name == "table":
-                    self.table(x)
-                else:
-                    self.lines.append(self.field(x))
+                self.lines += table(x) if x.name == "table" else [inline(x)]
             else:
                 marker = MARKERS.get(x.name)
                 if frame[2] is not None and not frame[3]:
@@ -170,10 +213,5 @@ def flatten(source: str | None) -> str:
     if page.depth > MAX_DEPTH:
         out.words_only(page.body)
     else:
-        limit = sys.getrecursionlimit()
-        sys.setrecursionlimit(max(limit, 4 * MAX_DEPTH))
-        try:
-            out.blocks(page.body)
-        finally:
-            sys.setrecursionlimit(limit)
+        out.blocks(page.body)
     return "\n".join(out.lines)

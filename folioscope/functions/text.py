@@ -9,7 +9,29 @@ SNIPPET = 280
 SLUG_WORDS, SLUG_CHARS = 8, 60
 #: Words that a slug does not end with (fixed values).
 SLUG_FILLER = (
-    "a an and as at but by for from in including into of on or so than that the to when which with".split()
+    "a",
+    "an",
+    "and",
+    "as",
+    "at",
+    "but",
+    "by",
+    "for",
+    "from",
+    "in",
+    "including",
+    "into",
+    "of",
+    "on",
+    "or",
+    "so",
+    "than",
+    "that",
+    "the",
+    "to",
+    "when",
+    "which",
+    "with",
 )
 CHUNK, OVERLAP = 24_000, 2_000
 EXCERPT, SHORT_EXCERPT = 400, 200

@@ -29,7 +29,7 @@ def page_tokens(pages: pd.Series) -> pd.DataFrame:
 
 def sniffed(pages: DataFrame, html: str = "inner_html") -> DataFrame:
     """Pages that may hold an id or a reference: a native filter ahead of the parser."""
-    return pages.where(F.col(html).rlike(r"(?i)id\s*=|href\s*=\s*[\"']?#|[\s/\"'](for|form|list|headers|aria-)"))
+    return pages.where(F.col(html).rlike(_anchors.ID_PATTERN) | F.col(html).rlike(_anchors.REFERENCE_PATTERN))
 
 
 def exploded_tokens(pages: DataFrame, html: str = "inner_html") -> tuple[DataFrame, DataFrame]:
