@@ -112,3 +112,21 @@ def filing_hint(http_status: Column, rate_limited: Column, credential: Column) -
         .otherwise(F.lit("sign in again and allow access to the repository"))
     )
     return F.when(refused, text)
+
+
+def refusal_cause(http_status: Column, remaining: Column, message: Column, service_token: Column) -> Column:
+    """What to look at after a refused filing; null where permissions are not the cause.
+
+    403 and 404 are told apart for both credentials: a service token is short of scopes, or can't see the repository or has
+    its name wrong; a user's token lacks the app's right to write issues, or can't see the repository, the name is wrong, or the app is not
+    installed.  Rate limits, known by no requests ``remaining`` or by the message, are no matter of permissions.
+    """
+    limited = F.coalesce(remaining == "0", F.lit(False)) | F.coalesce(message.rlike("(?i)rate limit|abuse"), F.lit(False)) | F.coalesce(message.ilike("%secondary limit%"), F.lit(False))
+    service = F.coalesce(service_token, F.lit(False))
+    cause = (
+        F.when(service & (http_status == 403), F.lit("service token: scopes"))
+        .when(service & (http_status == 404), F.lit("service token: access or repository name"))
+        .when(http_status == 403, F.lit("app: right to write issues"))
+        .when(http_status == 404, F.lit("app not installed, repository name or user's access"))
+    )
+    return F.when(~limited, cause)

@@ -1,19 +1,23 @@
 """Queues, rate limits, byte budgets, caches and stalls over recorded events.
 
 What is a matter of windows is native.  Where a decision feeds back into the next (queues, refusals, caches), one key's events
-are folded in order in Python; keys are independent.
+are replayed in order in Python, a batch at a time; keys are independent.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-RATE_WINDOW = "60 seconds"
+RATE_WINDOW, RATE_SECONDS = "60 seconds", 60
 FIRST_OUTPUT_S, IDLE_S, TOTAL_S = 120, 60, 900
 TOKEN_TTL_S, TOKEN_SLOTS = 300, 10_000
 ALLOWED_MOVES = (
@@ -66,11 +70,32 @@ def metered(chunks: DataFrame, ceiling: int, keys: tuple[str, ...] = ("request_i
     return sized.groupBy(*keys).agg(F.sum("bytes").alias("bytes"), F.min(F.when(F.col("size") > ceiling, F.col("seq"))).alias("cut_at"))
 
 
-def _folded(key: str, order: list[str], step: Callable[[pd.DataFrame], Iterator[tuple]], names: list[str]):
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(list(step(batch.sort_values(order, kind="stable"))), columns=names)
+def replayed(rows: DataFrame, keys: list[str], order: list[str], given: list[str], fresh: Callable[[], Callable[..., tuple]], schema: str) -> DataFrame:
+    """What a function with a state of its own makes of each key's rows, in order; null is a key like any other.
 
-    return run
+    Keys are dealt out and sorted within their partitions, and rows come to Python in batches: whatever the size of a key, a
+    task holds one batch and one state.
+    """
+    made = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, decide = None, None
+        for batch in batches:
+            out = []
+            for key, *values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != here:
+                    here, decide = key, fresh()
+                out.append(decide(*values))
+            columns = zip(*out, strict=True) if out else [()] * len(made)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, made, strict=True)], schema=made)
+
+    keyed = rows.select(F.to_json(F.struct(*keys)).alias("_key"), *given, *(F.col(c).alias(f"_by_{c}") for c in order))
+    dealt = keyed.repartition("_key").sortWithinPartitions("_key", *(f"_by_{c}" for c in order))
+    return dealt.select("_key", *given).mapInArrow(run, schema)
+
+
+def _in_seconds(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("at_s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
 
 
 def queue_waits(jobs: DataFrame, limit: int) -> DataFrame:
@@ -80,16 +105,19 @@ def queue_waits(jobs: DataFrame, limit: int) -> DataFrame:
     """
     slots = max(1, limit)
 
-    def step(batch: pd.DataFrame) -> Iterator[tuple]:
+    def fresh() -> Callable[..., tuple]:
         busy: list[float] = []
-        for q, job, submit, run in batch[["queue", "job_id", "submit_s", "run_s"]].itertuples(index=False):
-            start = submit if len(busy) < slots else max(submit, heapq.heappop(busy))
-            heapq.heappush(busy, start + run)
-            yield q, job, start, start - submit
+
+        def start(queue, job, submit: float, run: float) -> tuple:
+            at = submit if len(busy) < slots else max(submit, heapq.heappop(busy))
+            heapq.heappush(busy, at + run)
+            return queue, job, at, at - submit
+
+        return start
 
     kind = dict(jobs.dtypes)
     schema = f"queue {kind['queue']}, job_id {kind['job_id']}, started_s double, waited_s double"
-    return jobs.groupBy("queue").applyInPandas(_folded("queue", ["submit_s", "job_id"], step, ["queue", "job_id", "started_s", "waited_s"]), schema)
+    return replayed(jobs, ["queue"], ["submit_s", "job_id"], ["queue", "job_id", "submit_s", "run_s"], fresh, schema)
 
 
 def admitted(requests: DataFrame, ceiling: int, budget: int, gate: str | None = None) -> DataFrame:
@@ -99,46 +127,106 @@ def admitted(requests: DataFrame, ceiling: int, budget: int, gate: str | None =
     of one.  Each decision depends on those before it, so the requests of a deployment are replayed in one task.
     """
 
-    def step(batch: pd.DataFrame) -> Iterator[tuple]:
+    def fresh() -> Callable[..., tuple]:
         flying: list[tuple[float, int]] = []
         total = 0
-        for client, request, at, charge, hold in batch[["client", "request_id", "at_s", "charge", "hold_s"]].itertuples(index=False):
+
+        def admit(client, request, at: float, charge: int, hold: float) -> tuple:
+            nonlocal total
             while flying and flying[0][0] <= at:
                 total -= heapq.heappop(flying)[1]
             good = not flying or total + charge <= budget
             if good:
                 heapq.heappush(flying, (at + hold, charge))
                 total += charge
-            yield client, request, good
+            return client, request, good
+
+        return admit
 
-    timed = requests.withColumn("at_s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).withColumn("charge", byte_charge(F.col("declared_bytes"), ceiling).cast("long"))
+    timed = _in_seconds(requests).withColumn("charge", byte_charge(F.col("declared_bytes"), ceiling).cast("long"))
     timed = timed.withColumn("_gate", F.col(gate) if gate else F.lit(0))
-    return timed.groupBy("_gate").applyInPandas(_folded("gate", ["at_s", "request_id"], step, ["client", "request_id", "admitted"]), "client long, request_id long, admitted boolean")
+    return replayed(timed, ["_gate"], ["at_s", "request_id"], ["client", "request_id", "at_s", "charge", "hold_s"], fresh, "client long, request_id long, admitted boolean")
+
+
+def rate_decisions(requests: DataFrame, limit: int) -> DataFrame:
+    """(client, request_id, window_start_s, nth, refused, retry_after_s) where a window begins with a client's first request.
+
+    It lasts a minute; the first request after its end begins the next one.  Of the requests of a window those after the
+    first ``limit`` are refused, with the whole seconds to its end, one at least.  A silence of a minute ends any window, so
+    a client's requests are replayed from one such silence to the next, each run by itself.
+    """
+
+    def fresh() -> Callable[..., tuple]:
+        began, seen = None, 0
+
+        def count(client, request, at: float) -> tuple:
+            nonlocal began, seen
+            if began is None or at - began >= RATE_SECONDS:
+                began, seen = at, 0
+            seen += 1
+            over = seen > limit
+            return client, request, began, seen, over, max(1, math.ceil(began + RATE_SECONDS - at)) if over else None
+
+        return count
+
+    order = Window.partitionBy("client").orderBy("at_s", "request_id")
+    gap = F.col("at_s") - F.lag("at_s").over(order) >= RATE_SECONDS
+    runs = _in_seconds(requests).withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    schema = "client long, request_id long, window_start_s double, nth long, refused boolean, retry_after_s long"
+    return replayed(runs, ["client", "_run"], ["at_s", "request_id"], ["client", "request_id", "at_s"], fresh, schema)
 
 
-def token_cache(lookups: DataFrame, ttl_s: int = TOKEN_TTL_S) -> DataFrame:
-    """(client, request_id, hit): an entry lives for its TTL from when it was made; a hit does not renew it."""
+def _cache(ttl_s: float, slots: int) -> Callable[[], Callable[..., tuple]]:
+    """Caches of client to moment of expiry.  All entries live equally long, so the oldest is the next to expire."""
 
-    def step(batch: pd.DataFrame) -> Iterator[tuple]:
-        made = None
-        for client, request, at in batch[["client", "request_id", "at_s"]].itertuples(index=False):
-            hit = made is not None and at - made < ttl_s
+    def fresh() -> Callable[..., tuple]:
+        entries: dict = {}
+
+        def look_up(client, request, at: float) -> tuple:
+            hit = client in entries and entries[client] > at
             if not hit:
-                made = at
-            yield client, request, hit
+                while entries and (len(entries) >= slots or next(iter(entries.values())) <= at):
+                    del entries[next(iter(entries))]
+                entries[client] = at + ttl_s
+            return client, request, hit
+
+        return look_up
+
+    return fresh
 
-    timed = lookups.withColumn("at_s", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return timed.groupBy("client").applyInPandas(_folded("client", ["at_s", "request_id"], step, ["client", "request_id", "hit"]), "client long, request_id long, hit boolean")
 
+def token_cache(lookups: DataFrame, ttl_s: int = TOKEN_TTL_S, slots: int | None = None, gate: str | None = None) -> DataFrame:
+    """(client, request_id, hit): an entry lives for its TTL from when it was made; a hit does not renew it.
 
-def stalls(chunks: DataFrame) -> DataFrame:
+    With ``slots`` a deployment (told apart by the column ``gate``, if given) holds at most so many entries: where one more is
+    made, expired entries go, then the oldest.  Only a deployment of more clients than slots can be short of room; its
+    lookups are replayed together, those of all others client by client.
+    """
+    timed = _in_seconds(lookups).withColumn("_gate", F.col(gate) if gate else F.lit(0))
+    keys = ["_gate", "client"]
+    if slots is not None:
+        clients = timed.select("_gate", "client").distinct().groupBy("_gate").agg((F.count("*") > slots).alias("_short"))
+        timed = timed.withColumnRenamed("_gate", "_g").join(clients, F.col("_g").eqNullSafe(F.col("_gate")))
+        timed = timed.withColumn("_alone", F.when(~F.col("_short"), F.col("client"))).drop("_gate").withColumnRenamed("_g", "_gate")
+        keys = ["_gate", "_short", "_alone"]
+    schema = "client long, request_id long, hit boolean"
+    return replayed(timed, keys, ["at_s", "request_id"], ["client", "request_id", "at_s"], _cache(ttl_s, max(1, slots) if slots is not None else TOKEN_SLOTS), schema)
+
+
+def stalls(chunks: DataFrame, watched: DataFrame | None = None) -> DataFrame:
     """(call_id, seq, kind) of the first stall of each recorded call.
 
+    A stall is found at the chunk after it.  ``watched``, (call_id, ts), tells until when calls that never ended were watched: silence up to
+    then is a stall as well, without a seq.
+
     Chunks are (call_id, seq, ts, kind, text_length); the first one's moment stands for the request.  Keepalives count for
     nothing.  A gap is measured against the idle limit once text has come, else against that of first output.
     """
-    live = chunks.where(F.col("kind") != "keepalive")
-    order = Window.partitionBy("call_id").orderBy("ts", "seq")
+    live = chunks.where(F.col("kind") != "keepalive").select("call_id", "seq", "ts", "text_length", F.lit(False).alias("silence"))
+    if watched is not None:
+        ends = watched.select("call_id", F.lit(None).cast("long").alias("seq"), "ts", F.lit(0).alias("text_length"), F.lit(True).alias("silence"))
+        live = live.unionByName(ends)
+    order = Window.partitionBy("call_id").orderBy("ts", "silence", "seq")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     seen = live.withColumn("text_so_far", F.sum("text_length").over(upto)).withColumn("began", F.min("ts").over(upto))
     seen = seen.withColumn("before", F.lag("ts").over(order)).withColumn("had_text", F.coalesce(F.lag("text_so_far").over(order) > 0, F.lit(False)))
@@ -146,7 +234,8 @@ def stalls(chunks: DataFrame) -> DataFrame:
     gap, total = (micros("ts") - micros("before")) / 1e6, (micros("ts") - micros("began")) / 1e6
     kind = F.when(F.col("had_text") & (gap > IDLE_S), F.lit("idle")).when(~F.col("had_text") & (gap > FIRST_OUTPUT_S), F.lit("first_output")).when(total > TOTAL_S, F.lit("total"))
     found = seen.withColumn("stall", kind).where(F.col("stall").isNotNull())
-    return found.groupBy("call_id").agg(F.min_by("seq", F.struct("ts", "seq")).alias("seq"), F.min_by("stall", F.struct("ts", "seq")).alias("kind"))
+    place = F.struct("ts", "silence", "seq")
+    return found.groupBy("call_id").agg(F.min_by("seq", place).alias("seq"), F.min_by("stall", place).alias("kind"))
 
 
 def sse_events(reads: DataFrame) -> DataFrame:

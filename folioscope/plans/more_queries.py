@@ -165,3 +165,22 @@ def _(t: Tables) -> DataFrame:
     i = F.col("page_id") % 3
     raw = F.when(i == 0, F.lit('{"3": [{"text": "t", "href": "h0"}, {"text": "t", "href": "h1"}], "4": []}')).when(i == 1, F.lit("[not json"))
     return readers.page_links(t["pages"].select(F.col("page_id").cast("string").alias("session"), raw.alias("value")))
+
+
+@query(
+    "q_refusal_cause",
+    """WITH e AS (SELECT event_id, [200, 403, 404, 500][event_id % 4 + 1] AS status, CASE event_id % 5 WHEN 0 THEN '0' WHEN 1 THEN '12' END AS remaining,
+  CASE event_id % 7 WHEN 0 THEN 'API Rate Limit exceeded' WHEN 1 THEN 'abuse detected' WHEN 2 THEN 'a secondary limit' WHEN 3 THEN 'not accessible' END AS message,
+  CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS service FROM events)
+SELECT event_id, CASE WHEN coalesce(remaining, '') = '0' OR event_id % 7 < 3 THEN NULL
+  WHEN service IS TRUE AND status = 403 THEN 'service token: scopes' WHEN service IS TRUE AND status = 404 THEN 'service token: access or repository name'
+  WHEN status = 403 THEN 'app: right to write issues' WHEN status = 404 THEN 'app not installed, repository name or user''s access' END AS cause FROM e""",
+)
+def _(t: Tables) -> DataFrame:
+    i = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, (200, 403, 404, 500))), (i % 4 + 1).cast("int"))
+    remaining = F.when(i % 5 == 0, F.lit("0")).when(i % 5 == 1, F.lit("12"))
+    said = ("API Rate Limit exceeded", "abuse detected", "a secondary limit", "not accessible")
+    message = F.get(F.array(*map(F.lit, said)), (i % 7).cast("int"))
+    service = F.when(i % 3 == 0, F.lit(True)).when(i % 3 == 1, F.lit(False))
+    return t["events"].select("event_id", dispatch.refusal_cause(status, remaining, message, service).alias("cause"))

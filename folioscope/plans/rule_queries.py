@@ -464,6 +464,50 @@ def _(t: Tables) -> DataFrame:
     return scheduling.token_cache(t["events"].select((i % 40).alias("client"), i.alias("request_id"), moment.alias("ts")))
 
 
+@query(
+    "q_token_cache_bounded",
+    """WITH RECURSIVE l AS (SELECT event_id % 61 AS gate, CASE WHEN event_id % 61 < 20 THEN event_id % 4 ELSE user_id % 17 END AS client, event_id AS request_id, event_id AS at_s FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY gate ORDER BY at_s, request_id) AS n FROM l),
+r AS (SELECT gate, client, request_id, n, false AS hit, [{'c': client, 'e': at_s + 900}] AS entries FROM n WHERE n = 1
+  UNION ALL SELECT gate, client, request_id, n, hit, CASE WHEN hit THEN entries ELSE list_append(CASE WHEN len(alive) >= 6 THEN alive[len(alive) - 4 :] ELSE alive END, {'c': client, 'e': at_s + 900}) END
+  FROM (SELECT *, len(list_filter(alive, lambda x: x.c = client)) > 0 AS hit FROM (SELECT n.*, r.entries, list_filter(r.entries, lambda x: x.e > n.at_s) AS alive FROM r JOIN n ON n.gate = r.gate AND n.n = r.n + 1)))
+SELECT client, request_id, hit FROM r""",
+)
+def _(t: Tables) -> DataFrame:
+    i = F.col("event_id")
+    client = F.when(i % 61 < 20, i % 4).otherwise(F.col("user_id") % 17)
+    moment = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=i)
+    return scheduling.token_cache(t["events"].select((i % 61).alias("gate"), client.alias("client"), i.alias("request_id"), moment.alias("ts")), 900, 6, "gate")
+
+
+@query(
+    "q_rate_decisions",
+    """WITH RECURSIVE n AS (SELECT user_id AS client, event_id AS request_id, event_id // 10 AS at_s, row_number() OVER (PARTITION BY user_id ORDER BY event_id // 10, event_id) AS n FROM events),
+r AS (SELECT client, request_id, at_s, n, at_s AS began, 1 AS nth FROM n WHERE n = 1
+  UNION ALL SELECT n.client, n.request_id, n.at_s, n.n, CASE WHEN n.at_s - r.began >= 60 THEN n.at_s ELSE r.began END, CASE WHEN n.at_s - r.began >= 60 THEN 1 ELSE r.nth + 1 END FROM r JOIN n ON n.client = r.client AND n.n = r.n + 1)
+SELECT client, request_id, CAST(began + epoch(TIMESTAMP '2024-01-01') AS DOUBLE) AS window_start_s, CAST(nth AS BIGINT) AS nth, nth > 2 AS refused, CASE WHEN nth > 2 THEN CAST(greatest(1, began + 60 - at_s) AS BIGINT) END AS retry_after_s FROM r""",
+)
+def _(t: Tables) -> DataFrame:
+    moment = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.floor(F.col("event_id") / 10))
+    return scheduling.rate_decisions(t["events"].select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), moment.alias("ts")), 2)
+
+
+@query(
+    "q_stalls_watched",
+    """WITH l AS (SELECT call_id, seq, ts, text_length, 0 AS silence FROM v_chunks WHERE kind <> 'keepalive' UNION ALL SELECT DISTINCT call_id, NULL, TIMESTAMP '2024-03-01', 0, 1 FROM v_chunks WHERE call_id % 2 = 0),
+c AS (SELECT *, sum(text_length) OVER w AS sofar, min(ts) OVER w AS began FROM l WINDOW w AS (PARTITION BY call_id ORDER BY ts, silence, seq ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT *, lag(ts) OVER w AS before, coalesce(lag(sofar) OVER w > 0, false) AS had FROM c WINDOW w AS (PARTITION BY call_id ORDER BY ts, silence, seq)),
+k AS (SELECT *, CASE WHEN had AND epoch_us(ts) - epoch_us(before) > 60000000 THEN 'idle' WHEN NOT had AND epoch_us(ts) - epoch_us(before) > 120000000 THEN 'first_output' WHEN epoch_us(ts) - epoch_us(began) > 900000000 THEN 'total' END AS stall FROM g),
+f AS (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY ts, silence, seq) AS nth FROM k WHERE stall IS NOT NULL)
+SELECT call_id, CAST(seq AS BIGINT) AS seq, stall AS kind FROM f WHERE nth = 1""",
+    ("v_chunks",),
+)
+def _(t: Tables) -> DataFrame:
+    chunks = t["v_chunks"]
+    watched = chunks.where("call_id % 2 = 0").select("call_id").distinct().withColumn("ts", F.lit("2024-03-01").cast("timestamp_ntz"))
+    return scheduling.stalls(chunks, watched)
+
+
 @query(
     "q_sse_events",
     """WITH e AS (SELECT user_id AS call_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),

@@ -380,3 +380,28 @@ def test_sinks(spark, tmp_path):
     assert path.endswith("run_signals/v1") and readers.read_table(spark, str(tmp_path), "run_signals").columns == ["session_id", "code", "impact", "count", "recorded_at"]
     writers.append_events(spark.createDataFrame([("t", "phase", None)], "ts string, type string, phase string"), f"{tmp_path}/log")
     assert spark.read.text(f"{tmp_path}/log").first().value == '{"ts":"t","type":"phase"}'
+
+
+def test_bounded_cache(spark):
+    schema = "client long, request_id long, ts timestamp_ntz"
+    looks = spark.createDataFrame([(c, i, at(s)) for i, (c, s) in enumerate([(1, 0), (2, 1), (3, 2), (1, 3), (3, 4), (2, 5), (None, 6), (None, 7)])], schema)
+    # The third entry takes the oldest one's place, the fourth the second's, and so on; a hit renews nothing.
+    assert [r[2] for r in sorted(rows(scheduling.token_cache(looks, 300, 2)), key=lambda r: r[1])] == [False, False, False, False, True, False, False, True]
+    assert [r[2] for r in sorted(rows(scheduling.token_cache(looks, 300, 9)), key=lambda r: r[1])] == [False, False, False, True, True, True, False, True]
+    assert rows(scheduling.token_cache(looks.limit(0), 300, 2)) == []
+
+
+def test_rate_decisions(spark):
+    asked = [(1, i, at(s)) for i, s in enumerate([30, 50, 61, 89, 90, 91, 150, 1000])]
+    got = rows(scheduling.rate_decisions(spark.createDataFrame(asked, "client long, request_id long, ts timestamp_ntz"), 2))
+    began = [r[2] - got[0][2] for r in got]
+    assert began == [0, 0, 0, 0, 60, 60, 120, 970]
+    assert [(r[3], r[5]) for r in got] == [(1, None), (2, None), (3, 29), (4, 1), (1, None), (2, None), (1, None), (1, None)]
+
+
+def test_stalls_until_watched(spark):
+    data = [("a", 0, at(0), "text", 1), ("b", 0, at(0), "protocol", 0), ("c", 0, at(0), "text", 1), ("d", 0, at(0), "text", 1), ("d", 1, at(70), "text", 1)]
+    watched = spark.createDataFrame([("a", at(61)), ("b", at(119)), ("d", at(900))], "call_id string, ts timestamp_ntz")
+    chunks = spark.createDataFrame(data, CHUNKS)
+    assert sorted(map(tuple, scheduling.stalls(chunks, watched).collect())) == [("a", None, "idle"), ("d", 1, "idle")]
+    assert [tuple(r) for r in scheduling.stalls(chunks).collect()] == [("d", 1, "idle")]

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 #: What needs a tree, a scanner or a fold.
-PYTHON = {"q_flatten", "q_flatten_fragments", "q_lint_subset", "q_json_from_text", "q_entities", "q_image_sizes", "q_assemble", "q_in_flight_exact", "q_admitted", "q_queue_waits", "q_queue_waits_two_slots", "q_token_cache"}
+PYTHON = {"q_flatten", "q_flatten_fragments", "q_lint_subset", "q_json_from_text", "q_entities", "q_image_sizes", "q_assemble", "q_in_flight_exact", "q_admitted", "q_queue_waits", "q_queue_waits_two_slots", "q_token_cache", "q_token_cache_bounded", "q_rate_decisions"}
 
 
 def plan(df):
