@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Blocks of a filter: 64 bits each, so 512 KB for 65,536 of them, whatever it holds.  At 16 bits a key that is room for
-#: 260,000 keys; more only pass more false positives on to the exact join behind the filter.
+#: Blocks of a filter where the number of its keys is not known: 64 bits each, so 512 KB for 65,536 of them.
 BLOCKS = 1 << 16
+#: The least and the most blocks of a filter sized by its keys: 8 KB and 8 MB.  At 16 bits a key that is room for four million
+#: keys; more only pass more false positives on to the exact join behind the filter.
+FEWEST, MOST = 1 << 10, 1 << 20
 #: Bits that a key sets in its block.
 BITS = 4
 
 
+def blocks_for(keys: int) -> int:
+    """A power of two of blocks that gives each of ``keys`` keys 16 bits, within the bounds."""
+    return min(MOST, max(FEWEST, 1 << max(0, (keys - 1) // 4).bit_length()))
+
+
 def _block(key: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
 

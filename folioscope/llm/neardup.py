@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bloom import bloom_filter, may_hold
+from .bloom import blocks_for, bloom_filter, may_hold
 from .common import Scratch, small_batches, stored, tidy
 
 SHINGLE = 4
@@ -162,12 +162,13 @@ def _similar_sizes(a: str, b: str, threshold: int) -> Column:
     return 100 * F.least(F.col(a), F.col(b)) >= threshold * F.greatest(F.col(a), F.col(b))
 
 
-def shingle_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(id, shingles) of the documents among ``ids``.
+def shingle_sets(ids: DataFrame, docs: DataFrame, size: int, at_most: int) -> DataFrame:
+    """(id, shingles) of the documents among ``ids``, of which there are ``at_most`` so many.
 
-    A Bloom filter of the ids goes ahead of the join, so that texts of other documents are not shuffled.
+    A Bloom filter of the ids, of a size that this number gives, goes ahead of the join, so that texts of other documents are not shuffled.
     """
-    likely = docs.where(may_hold(bloom_filter(ids, "id").scalar(), F.col("id")))
+    blocks = blocks_for(at_most)
+    likely = docs.where(may_hold(bloom_filter(ids, "id", blocks).scalar(), F.col("id"), blocks))
     return likely.join(ids, "id", "left_semi").mapInPandas(tidy(_sets(size)), SET_SCHEMA)
 
 
@@ -288,12 +289,12 @@ def candidate_links(nodes: DataFrame, docs: DataFrame, size: int, threshold: int
     pairs = members.where("id <> center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
     star = keep(sifted(pairs, odd, threshold), "star")
     in_star = star.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    links = keep(confirmed(star, keep(shingle_sets(in_star, docs, size), "sets"), threshold), "links")
+    links = keep(confirmed(star, keep(shingle_sets(in_star, docs, size, 2 * star.count()), "sets"), threshold), "links")
     groups = connected_components(links).withColumnRenamed("node", "id")
     grouped = keep(members.join(groups, "id", "left").select("key", "id", "center", F.coalesce("component", "id").alias("component")), "grouped")
     rest = keep(open_rows(grouped), "rest")
     if not rest.isEmpty():
-        sets = keep(shingle_sets(rest.select("id").distinct(), docs, size), "sets")
+        sets = keep(shingle_sets(rest.select("id").distinct(), docs, size, rest.count()), "sets")
         known = rest.join(odd, "id").join(rare_prefixes(sets, threshold), "id", "left")
         others = keep(pairs_across(known, threshold), "others")
         links = links.unionByName(confirmed(others, sets, threshold))

@@ -154,6 +154,11 @@ def test_urls(spark):
     assert {r.verdict for r in urlfilter.filter_urls(urls, listing.limit(0)).collect() if r.rule is None} == {"allow"}
 
 
+def test_bloom_filters_are_sized_by_their_keys():
+    assert [bloom.blocks_for(n) for n in (0, 1, 4096, 4097, 10**6, 10**12)] == [1024, 1024, 1024, 2048, 1 << 18, bloom.MOST]
+    assert all(64 * bloom.blocks_for(n) >= 16 * n for n in range(0, 4 * bloom.MOST, 9973))
+
+
 def test_bloom_filter_misses_nothing(spark):
     keys = spark.range(0, 30_000, 3).withColumn("k", F.col("id").cast("string"))
     held = bloom.bloom_filter(keys, "k", 4096).scalar()
