@@ -170,6 +170,15 @@ def test_lint():
     assert violations(None) == [] and violations("<html><body>x") == [("html-lang", "serious", 1)]
 
 
+def test_lint_names_of_links_and_headings():
+    silent = '<a href=x></a><a href=x> <b></b></a><a href=x><script>s</script></a><h1></h1><h2> <span> </span></h2>'
+    assert violations(silent) == [("empty-heading", "minor", 2), ("link-name", "serious", 3)]
+    named = '<a href=x>go</a><a href=x><img alt=pic></a><a href=x title=t></a><a name=x></a><h1><b>a</b></h1><h2 aria-label=n></h2>'
+    assert violations(named) == []
+    deep = "<a href=x>" + "<b>" * 5000 + "{}" + "</b>" * 5000 + "</a>"
+    assert violations(deep.format("")) == [("link-name", "serious", 1)] and violations(deep.format("go")) == []
+
+
 # --- anchors
 
 
