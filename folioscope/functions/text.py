@@ -86,7 +86,7 @@ def content_words(flattened: Column) -> Column:
 
 
 def coverage(accepted: Column, candidate: Column) -> Column:
-    """The share of accepted words that a candidate has; null if there are too few to judge.
+    """The share of accepted words that a candidate has; null if there are too few to judge.  A null candidate has no word.
 
     Both word lists are bound by a lambda, so that each is made once for a row.
     """
@@ -95,7 +95,8 @@ def coverage(accepted: Column, candidate: Column) -> Column:
         n = F.size(x["a"])
         return F.when(n >= MIN_COVERAGE_WORDS, F.size(F.array_intersect(x["a"], x["b"])) / n)
 
-    return F.get(F.transform(F.array(F.struct(accepted.alias("a"), candidate.alias("b"))), share), F.lit(0))
+    words = F.struct(accepted.alias("a"), F.coalesce(candidate, F.array().cast("array<string>")).alias("b"))
+    return F.get(F.transform(F.array(words), share), F.lit(0))
 
 
 def diff_preview(before: Column, after: Column, limit: int = DIFF_LINES) -> Column:

@@ -80,3 +80,16 @@ def test_whole_texts(spark, tmp_path):
     fixtures = {(r.session, r.agent, r.image): r.accepted_html for r in got["capture_fixtures"]}
     text = {i: t for i, t, _ in rows}
     assert fixtures == {(0, "fr", "0"): text[0], (0, "en", "1"): text[1], (0, "de", "0"): text[2], (1, "en", "1"): text[7]}
+
+
+@pytest.mark.parametrize("name", ["q_coverage"])
+def test_candidate_is_missing(spark, tmp_path, name):
+    """The text after is null, or no document comes after."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota"
+    texts = {1: words, 2: None, 5: words, 9: words, 13: "too few", 16: None, 21: words, 22: "", 25: words, 26: words + " kappa", 33: words, 34: None}
+    data = [(i, t, "en", f"s{i % 3}") for i, t in texts.items()]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    df, rel = QUERIES[name](spark, str(tmp_path)), con.sql(ORACLE_SQL[name])
+    assert normal(df.collect(), df.columns, sorted(df.columns)) == normal(rel.fetchall(), rel.columns, sorted(df.columns))
