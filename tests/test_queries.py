@@ -82,7 +82,7 @@ def test_whole_texts(spark, tmp_path):
     assert fixtures == {(0, "fr", "0"): text[0], (0, "en", "1"): text[1], (0, "de", "0"): text[2], (1, "en", "1"): text[7]}
 
 
-@pytest.mark.parametrize("name", ["q_coverage", "q_fixture_scores"])
+@pytest.mark.parametrize("name", ["q_coverage", "q_fixture_scores", "q_regression_gate"])
 def test_candidate_is_missing(spark, tmp_path, name):
     """The text after is null, or no document comes after."""
     words = "alpha beta gamma delta epsilon zeta eta theta iota"
