@@ -60,12 +60,20 @@ def snippet(c: Column) -> Column:
 
 
 def lesson_slug(c: Column) -> Column:
-    """The first words of a key, at most 8 and 60 characters but one at least, without filler at the end."""
-    words = F.slice(F.split(norm_key(c), " "), 1, SLUG_WORDS)
-    fit = F.size(F.filter(F.sequence(F.lit(1), F.size(words)), lambda n: F.length(F.array_join(F.slice(words, 1, n), " ")) <= SLUG_CHARS))
-    kept = F.slice(words, 1, F.greatest(fit, F.lit(1)))
-    last = F.array_max(F.transform(kept, lambda w, i: F.when((i == 0) | ~w.isin(*SLUG_FILLER), i + 1).otherwise(0)))
-    return F.array_join(F.slice(kept, F.lit(1), last), " ")
+    """The first words of a key, at most 8 and 60 characters but one at least, without filler at the end.
+
+    The key of the whole text is not made: its first words are the first runs of letters and digits, wherever they stand.  A lambda
+    binds them, so that they are looked for once for a row.
+    """
+    head = F.regexp_extract(F.lower(c), rf"^[^a-z0-9]*+([a-z0-9]++(?:[^a-z0-9]++[a-z0-9]++){{0,{SLUG_WORDS - 1}}}+)?", 1)
+
+    def slug(words: Column) -> Column:
+        fit = F.size(F.filter(F.sequence(F.lit(1), F.size(words)), lambda n: F.length(F.array_join(F.slice(words, 1, n), " ")) <= SLUG_CHARS))
+        kept = F.slice(words, 1, F.greatest(fit, F.lit(1)))
+        last = F.array_max(F.transform(kept, lambda w, i: F.when((i == 0) | ~w.isin(*SLUG_FILLER), i + 1).otherwise(0)))
+        return F.array_join(F.slice(kept, F.lit(1), last), " ")
+
+    return F.get(F.transform(F.array(F.split(head, "[^a-z0-9]+")), slug), F.lit(0))
 
 
 def chunks(c: Column, budget: int = CHUNK, overlap: int = OVERLAP) -> Column:

@@ -35,6 +35,13 @@ def test_text(spark):
     assert values(spark, text.unresolved_note, ["a -- b --- c - d"]) == ["a — b — c - d"]
 
 
+def test_slug_looks_at_a_text_once(spark):
+    plan = spark.range(1).select(text.lesson_slug(F.col("id").cast("string")).alias("slug"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lower(") == 1
+    far = "! " * 200_000 + "Fix THE\ttable-for"
+    assert values(spark, text.lesson_slug, [far, "é" * 50_000 + "a", "a " * 50_000, "", "!?", None]) == ["fix the table", "a", "a", "", "", None]
+
+
 def test_coverage(spark):
     rows = [("one two three four five six seven eight nine", "nine eight seven six five four three two one more"), ("one two three four five six seven eight", "one two three four"), ("too few words here", "too few"),
             ("[Heading 1] one two three four five six seven eight", "")]
