@@ -29,7 +29,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language of the corpus is recognized: that score about as the labelled ones of the language do."""
+    """Documents in which a language of the corpus is recognized: that score about as the labelled ones of the language do.
+
+    Profiles and least scores are those of all labelled documents that are not held out.
+    """
     labelled = docs.where(~language.held_out())
     profiles = language.fit_profiles(labelled)
     lows = language.low_scores(labelled, profiles, LOW_QUANTILE)

@@ -8,9 +8,8 @@ rank in the profile; an n-gram the profile lacks costs the length of the profile
 Ties are broken the same way everywhere: n-grams of equal count by their code points, languages of equal
 distance by name.
 
-Profiles are fitted on about ``FIT_ROWS`` labelled documents of each language (all, if there are fewer): those
-whose hashed id is below a threshold, so the choice depends on neither order nor partitioning.  Predictions read every whole
-text.  Null texts and texts without a letter are ``und`` with score 0, as is everything when no labelled
+Profiles are fitted on all labelled documents that they are given, and predictions read every whole text.
+Null texts and texts without a letter are ``und`` with score 0, as is everything when no labelled
 text was given.  Null labels are not learned from.  Columns other than the named ones are ignored.
 """
 
@@ -30,8 +29,6 @@ from .common import give_back, small_batches, tidy
 
 UNKNOWN = "und"
 PROFILE_SIZE = 300
-#: The expected number of labelled documents of each language that profiles are fitted on.
-FIT_ROWS = 1000
 _NGRAM_BITS = 21
 
 PREDICTION = T.StructType(
@@ -110,22 +107,12 @@ def _partial_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "k": keys, "n": sums})
 
 
-def fit_profiles(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    lang_col: str = "lang",
-    size: int = PROFILE_SIZE,
-    rows: int = FIT_ROWS,
-) -> Profiles:
-    """Profiles of every language that ``docs`` labels.
+def fit_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE_SIZE) -> Profiles:
+    """Profiles of every language that ``docs`` labels, however many languages, from all labelled texts.
 
-    Counting is distributed; the driver gets one count and ``size`` integers a language.
+    Counting is distributed; the driver gets ``size`` integers a language.
     """
-    fit = _fit_rows(docs, id_col, text_col, lang_col, rows)
-    if fit is None:
-        return Profiles({})
-    grams = fit.mapInPandas(tidy(_partial_counts), "lang string, k long, n long")
+    grams = _labelled(docs, text_col, lang_col).mapInPandas(tidy(_partial_counts), "lang string, k long, n long")
     sums = grams.groupBy("lang", "k").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "k")
     top = sums.withColumn("r", F.row_number().over(best)).where(F.col("r") <= size).select("lang", "k", "r")
@@ -135,30 +122,20 @@ def fit_profiles(
     return Profiles({name: [k for _, k in sorted(ks)] for name, ks in found.items()})
 
 
-def _fit_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame | None:
-    """(lang, text) of about ``rows`` labelled documents of each language, however many languages; none where nothing is labelled."""
-    langs = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    own = langs.select(F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    # A number for each language, as the profiles have hundreds; only languages of more than ``rows`` documents need a share.
-    counts = {r["lang"]: r["n"] for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    large = {name: rows / n for name, n in sorted(counts.items()) if n > rows}
-    if large:
-        shares = F.create_map(*(F.lit(x) for pair in large.items() for x in pair))
-        own = own.where(F.col("h").cast("double") / F.lit(2.0**64) + F.lit(0.5) < F.coalesce(F.try_element_at(shares, "lang"), F.lit(2.0)))
-    return own.select("lang", "text")
-
-
-def low_scores(
-    docs: DataFrame, profiles: Profiles, quantile: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS
-) -> dict[str, float]:
-    """For each language, a quantile of the scores of its labelled documents (about ``rows``) that are recognized as it."""
-    fit = _fit_rows(docs, id_col, text_col, lang_col, rows)
-    if fit is None:
-        return {}
-    judged = fit.select("lang", predictor(profiles)(F.col("text")).alias("p")).where(F.col("p.lang_pred") == F.col("lang"))
-    return {r["lang"]: r["q"] for r in judged.groupBy("lang").agg(F.percentile("p.score", quantile).alias("q")).collect()}
+def _labelled(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, text) of the documents that have both."""
+    own = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    return own.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+
+
+def low_scores(docs: DataFrame, profiles: Profiles, quantile: float, text_col: str = "text", lang_col: str = "lang") -> dict[str, float]:
+    """For each language, a quantile of the scores of all its labelled documents that are recognized as it.
+
+    Equal scores are counted first: they are fractions over ``size`` times a document's ranks, so their number has a bound for the task that orders a language's.
+    """
+    judged = _labelled(docs, text_col, lang_col).select("lang", predictor(profiles)(F.col("text")).alias("p")).where(F.col("p.lang_pred") == F.col("lang"))
+    counts = judged.groupBy("lang", F.col("p.score").alias("score")).agg(F.count("*").alias("n"))
+    return {r["lang"]: r["q"] for r in counts.groupBy("lang").agg(F.percentile("score", quantile, F.col("n")).alias("q")).collect()}
 
 
 def predictor(profiles: Profiles):
@@ -183,6 +160,6 @@ def identify_language(
 ) -> DataFrame:
     """(id, held_out, lang_pred, score) of every row; profiles are fitted on the rows not held out."""
     if profiles is None:
-        profiles = fit_profiles(docs.where(~held_out(id_col)), id_col, text_col, lang_col)
+        profiles = fit_profiles(docs.where(~held_out(id_col)), text_col, lang_col)
     out = small_batches(docs).select(F.col(id_col), held_out(id_col).alias("held_out"), predictor(profiles)(F.col(text_col)).alias("p"))
     return out.select(id_col, "held_out", "p.*")

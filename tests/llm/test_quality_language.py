@@ -7,6 +7,9 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pytest
+
 from folioscope.llm import language, quality
 from folioscope.llm.quality import measure
 
@@ -87,6 +90,23 @@ def test_out_of_place_distance_by_hand():
     assert name == ("a" if sums[0] <= sums[1] else "b") and abs(score - (1 - min(sums) / 4)) < 1e-9
 
 
+def test_every_labelled_document_counts(docs):
+    """Profiles and least scores are those of all labelled documents, not of some."""
+    rnd = random.Random(9)
+    words = {"aa": "kato kilo oka toko lak".split(), "bb": "wern wurz zwen ruw nerz".split()}
+    rows = [(i, " ".join(rnd.choice(words[x]) + rnd.choice("abcdefghij") for _ in range(6)), x) for i in range(3000) for x in ["aa" if i % 5 else "bb"]]
+    profiles = language.fit_profiles(docs(rows), size=60)
+    for name, keys in zip(profiles.names, profiles.keys, strict=True):
+        sums = Counter()
+        for _, text, lang in rows:
+            if lang == name:
+                sums.update(dict(zip(*(x.tolist() for x in language.ngram_counts(text)), strict=True)))
+        assert keys.tolist() == sorted(sums, key=lambda k: (-sums[k], k))[:60]
+    said = [(x, *profiles.predict(t)) for _, t, x in rows]
+    want = {x: np.percentile([s for y, p, s in said if x == y == p], 5) for x in words}
+    assert language.low_scores(docs(rows), profiles, 0.05) == pytest.approx(want, abs=1e-12)
+
+
 def test_more_than_five_hundred_languages(docs):
     rnd = random.Random(7)
     letter = lambda k: "".join(chr(97 + (k // 26**j) % 26) for j in range(2))
